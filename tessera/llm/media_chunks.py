@@ -19,63 +19,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checked, stored, table
+from .chunking import chunks, delivered, digest, sharing
+from .shared import stored, table
 
-#: Least and most bytes of a chunk; a cut needs this many zero bits on top of the gear hash.
-LEAST, MOST, CUT_BITS = 512, 16_384, 11
-#: Bytes hashed at once, to bound memory whatever the batch.
-SLICE = 4 << 20
 PAD = 64
 
-_GEAR = np.array([int.from_bytes(hashlib.md5(bytes([b])).digest()[:4], "little") for b in range(256)], np.uint32)
-
-
-def gear(data: np.ndarray) -> np.ndarray:
-    """Rolling hash of the last 32 bytes at every byte: the sum of gear values, each shifted by
-    its distance, built by doubling the span five times."""
-    h = _GEAR[data]
-    for span in (1, 2, 4, 8, 16):
-        if len(h) > span:
-            h = np.concatenate([h[:span], h[span:] + (h[:-span] << np.uint32(span))])
-    return h
-
-
-def cuts(data: bytes, least: int = LEAST, most: int = MOST, bits: int = CUT_BITS) -> list[int]:
-    """Ends of the chunks of ``data``; equal content is cut alike wherever it stands."""
-    ends, start, n = [], 0, len(data)
-    for base in range(0, n, SLICE):
-        lead = min(base, 31)
-        piece = np.frombuffer(data, np.uint8, min(SLICE, n - base) + lead, base - lead)
-        for at in np.flatnonzero(gear(piece)[lead:] >> np.uint32(32 - bits) == 0) + base + 1:
-            while at - start > most:
-                start += most
-                ends.append(start)
-            if at - start >= least:
-                start = int(at)
-                ends.append(start)
-    while n - start > most:
-        start += most
-        ends.append(start)
-    if start < n:
-        ends.append(n)
-    return ends
-
 
 def payload(text: str | None) -> tuple[int, bytes]:
     data = (text or "").encode("utf-8", "surrogatepass")
     return len(data), data + bytes(-len(data) % PAD or (0 if data else PAD))
 
 
-def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
-    """(digest, bytes) of each chunk in order."""
-    start, found = 0, []
-    for end in cuts(data):
-        part = data[start:end]
-        found.append((hashlib.blake2b(part, digest_size=16).digest(), part))
-        start = end
-    return found
-
-
 def features(samples: bytes) -> str:
     """Mean, spread, entropy in bits, and share of bytes that change sign about the middle."""
     x = np.frombuffer(samples, np.uint8)
@@ -87,25 +41,6 @@ def features(samples: bytes) -> str:
     return f"mean={mean:.4f};std={spread:.4f};entropy={-float(some @ np.log2(some)) + 0.0:.4f};turns={turns}"
 
 
-def _key() -> F.Column:
-    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-
-
-def _digests(docs: DataFrame) -> DataFrame:
-    """key, digest: the different chunks of each text."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, digests = [], []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = {d for d, _ in chunks(payload(text.as_py())[1])}
-                keys += [key.as_py()] * len(own)
-                digests += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(digests, pa.binary())], names=["key", "digest"])
-
-    return docs.select(_key().alias("key"), "text").mapInArrow(found, "key binary, digest binary")
-
-
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Write the media of all texts: (media, parts).
 
@@ -113,19 +48,9 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     compressed), foreign (whether it needs other texts' chunks); of equal texts only that with
     the least doc_id has more than its key. parts: key and the foreign chunks of a text.
     """
-    digests = stored(_digests(docs), "media-digests")
-    seen = digests.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("other"))
-    shared = stored(seen.where("owner <> other").select("digest", "owner"), "media-shared")
-    held = digests.distinct().join(checked(shared), "digest")
-    mine = F.col("owner") == F.col("key")
-    held = stored(held.groupBy("key").agg(F.collect_set(F.when(~mine, F.col("digest"))).alias("takes"), F.collect_set(F.when(mine, F.col("digest"))).alias("gives")), "media-held")
-    copies = docs.groupBy(_key().alias("key")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    copies = stored(copies, "media-copies")
-
-    rows = docs.select("doc_id", _key().alias("key"), "text").join(checked(held), "key", "left").join(checked(copies), "key", "left")
-    rows = rows.select("doc_id", "key", (F.col("first").isNull() | F.col("first").eqNullSafe(F.col("doc_id"))).alias("keeps"), "takes", "gives", "text")
+    rows, held = sharing(docs, lambda text: payload(text)[1], "media")
     schema = "doc_id bigint, key binary, n_bytes bigint, list binary, own binary, foreign boolean, gives array<struct<digest:binary,chunk:binary>>"
-    given = pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())]))
+    item = pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -145,14 +70,12 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out[2].append(pack.compress(own))
                 out[3].append(bool(takes))
                 out[4].append([{"digest": d, "chunk": pack.compress(p)} for d, p in {d: p for d, p in parts if d in gives}.items()])
-            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), given), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *arrays], names=["doc_id", "key", "n_bytes", "list", "own", "foreign", "gives"])
+            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), item), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "key", "n_bytes", "list", "own", "foreign", "gives"])
 
     media = stored(rows.mapInArrow(write, schema), "media")
-    chunk = media.where("size(gives) > 0").select(F.explode("gives").alias("g")).select("g.digest", "g.chunk").dropDuplicates(["digest"])
-    wanted = held.select("key", F.explode("takes").alias("digest"))
-    parts = wanted.join(chunk, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "chunk")).alias("parts"))
-    return media, parts
+    given = media.where("size(gives) > 0").select(F.explode("gives").alias("g")).select("g.digest", "g.chunk")
+    return media, delivered(held, given, "chunk")
 
 
 def read(media: DataFrame, parts: DataFrame) -> DataFrame:
@@ -171,11 +94,11 @@ def read(media: DataFrame, parts: DataFrame) -> DataFrame:
                 foreign = {x["digest"]: unpack.decompress(x["chunk"]) for x in extra.as_py() or ()}
                 built, at = [], 0
                 for k in range(0, len(listed), 20):
-                    digest, size = listed[k : k + 16], int.from_bytes(listed[k + 16 : k + 20], "little")
-                    part = foreign.get(digest)
+                    name, size = listed[k : k + 16], int.from_bytes(listed[k + 16 : k + 20], "little")
+                    part = foreign.get(name)
                     if part is None:
                         part, at = own[at : at + size], at + size
-                    if len(part) != size or hashlib.blake2b(part, digest_size=16).digest() != digest:
+                    if len(part) != size or digest(part) != name:
                         raise ValueError("a stored chunk does not match its digest")
                     built.append(part)
                 data = b"".join(built)
