@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op8_bpe
 from .compression_classifier import op6_quality_classifier
 from .html_extract import op1_html_text
 from .media_chunks import op4_media_chunks
 from .mixing import op9_mix_sources
+from .pseudonyms import op2_pseudonyms
 from .quality_rules import op7_quality_rules
 from .url_filter import op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_pseudonyms": op2_pseudonyms,
     "op3_url_filter": op3_url_filter,
     "op4_media_chunks": op4_media_chunks,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bpe": op8_bpe,
     "op9_mix_sources": op9_mix_sources,
 }
 
