@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op8_bpe
 from .compression_classifier import op6_quality_classifier
 from .html_extract import op1_html_text
+from .jaccard_join import op5_jaccard_join
 from .media_chunks import op4_media_chunks
 from .mixing import op9_mix_sources
 from .pseudonyms import op2_pseudonyms
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pseudonyms": op2_pseudonyms,
     "op3_url_filter": op3_url_filter,
     "op4_media_chunks": op4_media_chunks,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
