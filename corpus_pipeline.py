@@ -1,15 +1,70 @@
-"""Corpus pipeline: quality, near duplicates, personal data, mixing, encoding."""
+"""Corpus pipeline: quality, near duplicates, personal data, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, compression_classifier, jaccard_join, mixing, pseudonyms
+from tessera.llm.shared import checked, stored, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject."""
+    model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = compression_classifier.score(docs, model, *[c for c in docs.columns if c != "doc_id"])
+    return scored.where(F.col("score") >= compression_classifier.THRESHOLD).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, that with the least doc_id."""
+    found = stored(jaccard_join.classes(docs), "pipeline-classes")
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head"))
+    once = stored(heads.distinct(), "pipeline-heads")
+    kept = docs.join(checked(once), docs["doc_id"].eqNullSafe(once["head"]), "left_semi")
+    repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with pseudonyms in place of personal data."""
+    return pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark)).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them: words taken over size, rounded."""
+    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "tie").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    taken = stored(taken.where("times > 0").select(F.col("doc_id").alias("of"), "tie", "times"), "pipeline-taken")
+    same = docs["doc_id"].eqNullSafe(taken["of"]) & (F.xxhash64(docs["text"]) == taken["tie"])
+    return docs.join(checked(taken), same).withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select(*[docs[c] for c in docs.columns])
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents' ids."""
+    return bpe.encode(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("PII", no_personal_data),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding and decoding", encoded),
+]
 
-STAGES: list = []
+#: No stage but the fourth's targets can be said in SQL; tests hold the rows against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"pipeline-{k}")
     return docs

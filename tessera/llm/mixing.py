@@ -72,7 +72,7 @@ def permuted(index: Column, count: Column, key: Column, rounds: int = 4, walks:
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Rows of ``docs`` with how many of their words the mix takes.
 
-    Returns doc_id, size, source, source_size, target, taken. A null text has size 0 and is never
+    Returns doc_id, size, source, source_size, target, taken, tie (hash of the text). A null text has size 0 and is never
     taken; null sources form one source; repeated rows are separate documents; empty input gives
     no rows; columns other than doc_id, text and source are not read.
     """
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie"), F.col("buckets")))
     run = W.partitionBy("sid", "bucket").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = keyed.withColumn("end", F.sum("size").over(run)).withColumn("start", F.col("end") - F.col("size"))
-    placed = stored(placed.select("doc_id", "size", "source", "sid", "source_size", "target", "bucket", "start", "end"), "mix-placed")
+    placed = stored(placed.select("doc_id", "size", "source", "tie", "sid", "source_size", "target", "bucket", "start", "end"), "mix-placed")
 
     packed = placed.groupBy("sid", "bucket").agg(F.max("end").alias("words"))
     packed = packed.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("long"))
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     need = [(i, held.get(i, 0), min(MAX_REPEATS * held.get(i, 0), int(round(t * held.get(i, 0) / n))) if n else 0) for i, (_, n, t) in enumerate(plan)]
     slots = sum(k for _, _, k in need)
     if not slots:
-        return placed.select("doc_id", "size", "source", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return placed.select("doc_id", "size", "source", "source_size", "target", F.lit(0).cast("long").alias("taken"), "tie")
     uses = _block_uses(spark, need, slots, shard_slots)
 
     spans = placed.where("size > 0").join(firsts, ["sid", "bucket"])
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     taken = spans.join(uses, ["sid", "block"]).groupBy("sid", "bucket", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.col("uses")).alias("got"))
     # A document of words is the only one to start where it does in its bucket.
     full = placed.where("size > 0").join(taken, ["sid", "bucket", "start", "doc_id", "size"], "left").unionByName(placed.where("size = 0"), allowMissingColumns=True)
-    return full.select("doc_id", "size", "source", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return full.select("doc_id", "size", "source", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "tie")
 
 
 def _block_uses(spark: SparkSession, need: list[tuple[int, int, int]], slots: int, shard_slots: int) -> DataFrame:

@@ -14,6 +14,7 @@ from .media_chunks import op4_media_chunks
 from .mixing import op9_mix_sources
 from .pseudonyms import op2_pseudonyms
 from .quality_rules import op7_quality_rules
+from .suffix_dedup import op10_suffix_dedup
 from .url_filter import op3_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
     "op9_mix_sources": op9_mix_sources,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
