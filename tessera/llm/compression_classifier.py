@@ -1,6 +1,6 @@
 """Quality classifier by compression: two zstandard dictionaries, one trained on good and one on bad
 labelled text. A text's score is the difference of its two compressed sizes over its size,
-beside the size itself, calibrated to a probability on labelled rows that trained no dictionary."""
+beside the size itself and the length, calibrated to a probability on labelled rows that trained no dictionary."""
 
 from __future__ import annotations
 
@@ -23,9 +23,11 @@ HELD_OUT = 0
 CALIBRATION = 4
 #: The bounded sample: texts of a label, bytes taken from each, bytes of a dictionary, level.
 SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 8192
+SAMPLE_BYTES = 16_384
 DICT_BYTES = 112_640
 LEVEL = 3
+#: Weights where no labelled text is left to calibrate with: the size difference alone.
+UNCALIBRATED = (60.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 #: A text is predicted good from this score on.
 THRESHOLD = 0.3
 
@@ -45,7 +47,7 @@ def _dictionary(texts: list[bytes]) -> bytes:
 class Model:
     """Both dictionaries and the calibration; small enough to travel with the tasks."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: tuple[float, ...] = (60.0, 0.0, 0.0, 0.0)):
+    def __init__(self, good: bytes, bad: bytes, weights: tuple[float, ...] = UNCALIBRATED):
         self.good, self.bad, self.weights = good, bad, weights
 
     def compressors(self) -> tuple:
@@ -54,11 +56,13 @@ class Model:
     @staticmethod
     def sizes(text: bytes, pair: tuple) -> tuple[float, ...]:
         """How much smaller the good dictionary makes a text than the bad one, per byte; the
-        good one's size per byte and its square, as repetition hardly needs a dictionary; 1."""
+        good one's size per byte and its square, as repetition hardly needs a dictionary; and,
+        as a dictionary helps a short text more, both with the logarithm of the length."""
         if not text or None in pair:
-            return 0.0, 0.0, 0.0, 1.0
+            return (0.0,) * 7
         good, bad = (len(c.compress(text)) / len(text) for c in pair)
-        return bad - good, good, good * good, 1.0
+        long = math.log(len(text) + 30) - 7
+        return bad - good, good, good * good, 1.0, long, (bad - good) * long, good * long
 
     def score(self, sizes: tuple[float, ...]) -> float:
         z = sum(w * x for w, x in zip(self.weights, sizes, strict=True))
@@ -69,7 +73,7 @@ def _calibrated(sizes: list[tuple[float, ...]], labels: list[int]) -> tuple[floa
     """Weights of a logistic curve through labelled sizes, by Newton's method with a small
     penalty; both labels weigh alike."""
     if len(set(labels)) < 2:
-        return 60.0, 0.0, 0.0, 0.0
+        return UNCALIBRATED
     x, y = np.array(sizes), np.array(labels, float)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w = np.zeros(x.shape[1])
