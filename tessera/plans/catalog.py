@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, filters, joins, ranking, scans, sets  # noqa: F401
+from . import aggregates, code, filters, joins, judging, ranking, scans, sets  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
