@@ -22,6 +22,8 @@ WANTED = ("news", "library", "school", "garden", "history", "science", "health",
 #: The commonest letter pairs of English, for made-up ordinary host names.
 PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le")
 
+#: A url that no rule decides is blocked from this probability on.
+BLOCK_FROM = 0.6
 #: N-gram lengths, hash buckets, most rows of the labelled table, and the training's settings.
 GRAM_SIZES = (3, 4)
 BUCKETS = 1 << 12
@@ -55,11 +57,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def grams(host: Column, path: Column) -> Column:
     """Bucket of every n-gram of the host between carets and of the path after a space."""
     text = F.concat(F.lit("^"), host, F.lit("^ "), path)
-    found = []
-    for n in GRAM_SIZES:
+
+    def of_size(n: int) -> Column:
         starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(starts, lambda i, n=n: F.pmod(F.crc32(F.substring(text, i, F.lit(n)).cast("binary")), F.lit(BUCKETS)).cast("int")))
-    return F.concat(*found)
+        return F.transform(starts, lambda i: F.pmod(F.crc32(F.substring(text, i, F.lit(n)).cast("binary")), F.lit(BUCKETS)).cast("int"))
+
+    return F.concat(*[of_size(n) for n in GRAM_SIZES])
 
 
 def fit(rows: list[tuple[list[int], int]]) -> list[float]:
@@ -90,8 +93,8 @@ def train(spark: SparkSession, labelled: list[tuple[str, int]] | None = None) ->
 def judge(pages: DataFrame, rules=RULES, weights: list[float] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of ``pages``.
 
-    The longest fitting rule decides; where none fits, the regression blocks at a probability of
-    one half. A null url, or one without ``://``, has an empty host and path and is judged by
+    The longest fitting rule decides; where none fits, the regression blocks from a probability of
+    BLOCK_FROM on. A null url, or one without ``://``, has an empty host and path and is judged by
     the regression; repeated rows are judged alike; columns other than page_id and url are not read.
     """
     weights = train(pages.sparkSession) if weights is None else weights
@@ -100,7 +103,7 @@ def judge(pages: DataFrame, rules=RULES, weights: list[float] | None = None) ->
     model = F.split(F.lit(",".join(f"{w:.8f}" for w in weights[:BUCKETS])), ",").cast("array<double>")  # folded to a constant
     total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(model, b))
     z = F.lit(weights[BUCKETS]) + total / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))
-    rule, verdict = F.lit(None).cast("string"), F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+    rule, verdict = F.lit(None).cast("string"), F.when(F.col("score") >= BLOCK_FROM, "block").otherwise("allow")
     for rule_host, rule_path, says in sorted(rules, key=lambda r: len(r[0] + r[1])):
         fits = ((F.col("host") == rule_host) | F.col("host").endswith("." + rule_host)) & F.col("path").startswith(rule_path)
         rule, verdict = F.when(fits, rule_host + rule_path).otherwise(rule), F.when(fits, says).otherwise(verdict)
