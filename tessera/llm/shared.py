@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished stages that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of finished stages that nothing refers to any more. The
+    event of a query's end refers to its plan until listeners have seen it, hence the pauses."""
+    for _ in range(2):
+        time.sleep(0.7)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def stored_bytes(df: DataFrame) -> int:
