@@ -27,7 +27,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     key = str(base)
     if len(_powers.get(key, ())) < n:
-        steps = np.full(max(n, GROUP_BYTES * 2), base, U)
+        steps = np.full(max(n, GROUP_BYTES + (1 << 17)), base, U)
         steps[0] = 1
         _powers[key] = np.multiply.accumulate(steps)
     return _powers[key][:n]
@@ -81,9 +81,9 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
             if hi - lo >= width:
                 yield np.unique(total[lo : hi - width + 1].view(np.int64))
             elif hi > lo:
-                short = U(hi - lo)
+                short = np.array([hi - lo], U)
                 for k in range(lo, hi):
-                    short = mixed(np.array([short * U(3) + h[k]], U))[0]
-                yield np.array([short], U).view(np.int64)
+                    short = mixed(short * U(3) + h[k : k + 1])
+                yield short.view(np.int64)
             else:
                 yield np.zeros(0, np.int64)
