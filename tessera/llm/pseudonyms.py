@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small, table
 
 #: Session setting with the key in hex, and the key where it is unset, as in tests.
 KEY_SETTING = "spark.tessera.pseudonym.key"
@@ -132,6 +132,24 @@ def date(key: bytes, text: str) -> str | None:
     return mark.join(value[o] if o == "y" else str(value[o]).zfill(len(p)) if len(p) > 1 else str(value[o]) for o, p in zip(order, (a, b, c), strict=True))
 
 
+#: English month names, in order. Fixed values.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "|".join([*MONTHS, *(m[:3] for m in MONTHS)])
+
+
+def written(key: bytes, text: str) -> str | None:
+    """A date with a month's name, whole or cut to three letters, before or after the day."""
+    name, (a, year) = re.search(r"[A-Z][a-z]+", text)[0], re.findall(r"\d+", text)
+    month = next(k for k, m in enumerate(MONTHS, 1) if m[:3] == name[:3])
+    new = date(key, f"{year}-{month:02}-{a.zfill(2)}")
+    if new is None:
+        return None
+    y, m, d = new.split("-")
+    given = iter((d if len(a) == 2 and a[0] == "0" else str(int(d)), y))
+    named = MONTHS[int(m) - 1] if name in MONTHS and name != "May" else MONTHS[int(m) - 1][: len(name)]
+    return re.sub(r"[A-Z][a-z]+|\d+", lambda x: named if x[0][0].isalpha() else next(given), text)
+
+
 def iban(key: bytes, text: str) -> str | None:
     plain = text.replace(" ", "")
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
@@ -166,6 +184,7 @@ _KINDS = (
     ("mail", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+", mail),
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("date", r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d]|[-/.]\d)", date),
+    ("written", rf"(?:(?:{_MONTH}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{_MONTH}) \d{{4}})(?![\w])", written),
     ("ipv4", r"\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", address),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?![\w]|-\d)", social),
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|1?[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w]|[-.]\d)", phone),
@@ -216,7 +235,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [(None, 0) if t is None else pseudonymised(t, key) for t in batch.column(place).to_pylist()]
             columns = list(batch.columns)
             columns[place] = pa.array([t for t, _ in found], batch.column(place).type)

@@ -114,6 +114,14 @@ def test_pseudonyms_keep_the_format():
     assert pseudonyms.pseudonymised(text, KEY) == (new, n) and pseudonyms.pseudonymised(text, b"other")[0] != new
 
 
+def test_written_dates_are_the_same_dates():
+    new = {x: pseudonyms.pseudonymised(x, KEY)[0] for x in ("1987-03-12", "March 12, 1987", "12 Mar 1987")}
+    y, m, d = new["1987-03-12"].split("-")
+    name = pseudonyms.MONTHS[int(m) - 1]
+    assert new["March 12, 1987"] == f"{name} {int(d)}, {y}" and new["12 Mar 1987"] == f"{int(d)} {name[:3]} {y}"
+    assert pseudonyms.pseudonymised("February 30, 2001", KEY)[1] == 0
+
+
 @pytest.mark.parametrize("text", ["", "no data", "version 4.0.2 of 2.0.", "4111111111111112", "2023-02-30", "256.1.1.1", "000-12-3456", "1704182936937501", "a1b2c3", "token 04dbebab91ab85687d33eeaaf9ac699e1188f962", "12345", "0.5 + 3.14"])
 def test_what_is_no_personal_data_stays(text):
     assert pseudonyms.pseudonymised(text, KEY) == (text, 0)
