@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunking import chunks, delivered, sharing
-from .shared import stored, table
+from .shared import small, stored, table
 
 SAFE = re.compile(r"(?<=\S) ")
 #: Pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def token_bytes(config: dict) -> list[bytes]:
@@ -80,6 +80,10 @@ class Encoder:
                 known[piece] = np.array(found.ids, "<u4").tobytes()
         return b"".join([known[p] for p in pieces])
 
+    def forget(self) -> None:
+        """At a task's end: the worker lives on, and other work needs its memory."""
+        self.known = {}
+
     def decode(self, ids: bytes) -> bytes:
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         return raw.decode("utf-8", "replace").encode()
@@ -138,7 +142,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = Encoder.of(config.value), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], []]
             for keeps, takes, gives, text in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
                 values: tuple = (None, None, None)
@@ -157,6 +161,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     column.append(value)
             arrays = [pa.array(c, t) for c, (_, t) in zip(out, [*columns, ("gives", item)], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *arrays], names=["doc_id", "key", "keeps", *(n for n, _ in columns), "gives"])
+        encoder.forget()
 
     schema = "key binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     done = stored(rows.mapInArrow(first, f"doc_id bigint, keeps boolean, {schema}, gives array<struct<digest:binary,ids:binary>>".replace("doc_id bigint, keeps boolean, key binary", "doc_id bigint, key binary, keeps boolean")), "bpe-first")
@@ -165,7 +170,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, unpack = Encoder.of(config.value), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], []]
             for text, taken in zip(batch.column(1), batch.column(2), strict=True):
                 ids = {x["digest"]: unpack.decompress(x["ids"]) for x in taken.as_py()}
@@ -173,6 +178,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     column.append(value)
             arrays = [pa.array(c, t) for c, (_, t) in zip(out, columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["key", *(n for n, _ in columns)])
+        encoder.forget()
 
     joined = rows.where("keeps and size(takes) > 0").select("key", "text").join(parts, "key").select("key", "text", "parts")
     ready = done.where("keeps and n_tokens is not null").select("key", *(n for n, _ in columns))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked, stored
+from .shared import checked, small, stored
 
 #: Least and most bytes of a chunk; a cut needs this many zero bits on top of the gear hash.
 LEAST, MOST, CUT_BITS = 512, 16_384, 11
@@ -78,7 +78,7 @@ def digests(docs: DataFrame, prepare: Callable[[str | None], bytes]) -> DataFram
     """key, digest: the different chunks of each text."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys, parts = [], []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 own = {d for d, _ in chunks(prepare(text.as_py()))}

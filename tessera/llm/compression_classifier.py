@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checked, stored, table
+from .shared import checked, small, stored, table
 
 #: Rows with this remainder of crc32(doc_id) modulo FOLDS are held out from all learning;
 #: those with CALIBRATION set the probability; the others train the dictionaries.
@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = model.compressors()
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
             found = [round(model.score(Model.sizes(t.as_py() or b"", pair)), 6) for t in texts]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *keep)]

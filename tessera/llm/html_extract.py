@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fits, stored, table
+from .shared import fits, small, stored, table
 
 #: A range is template when this many pages of its host have it, and this share of them.
 LEAST_PAGES = 5
@@ -151,7 +151,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """host, hash of the ranges that recur across pages; counts cover all pages."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             hosts, hashes = [], []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = set(Page(source or "").hashes())
@@ -189,7 +189,7 @@ def extract(pages: DataFrame) -> DataFrame:
         rows = rows.join(lists, "host", "left").select("page_id", "url", "host", "html", "hashes")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             hosts, sources = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             own = [held.value.get(h, ()) for h in hosts] if held is not None else batch.column(4).to_pylist()
             out = [Page(s or "").text(t if isinstance(t, set) else set(t or ())) for s, t in zip(sources, own, strict=True)]

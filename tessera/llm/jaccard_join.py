@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checked, release, stored, table
+from .shared import checked, release, small, stored, table
 from .words import shingle_sets
 
 #: Words of a shingle; similarity as a fraction.
@@ -39,9 +39,10 @@ NUM, DEN = 4, 5
 LIGHT = 24
 SMALL_MOST = 10
 ENTRY_COST = 4
-#: Hubs a node of heavy lists is compared with; query sets scanned at once.
+#: Hubs a node of heavy lists is compared with; query sets scanned at once, and their shingles.
 HUBS = 3
 BLOCK = 2000
+BLOCK_SHINGLES = 2_000_000
 
 
 def overlap(n: int, m: int) -> int:
@@ -97,7 +98,7 @@ def _sets(docs: DataFrame, schema: str, row, *, ids: str = "doc_id", width: int
     types = [{"bigint": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}[c.split(" ")[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [_lower(t) for t in batch.column(1).to_pylist()]
             out: list[list] = [[] for _ in names]
             filled = 0
@@ -197,7 +198,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     if not asking:
         return found
     sets = stored(_sets(_of(docs, mixed_lists), "node bigint, tokens array<bigint>", lambda key, tokens: [(key, tokens)]).join(mixed_lists, "node"), "jj-scan")
-    blocks = -(-asking // BLOCK)
+    shingles = sets.where("asks = 1").agg(F.sum(F.size("tokens")).alias("n")).first()["n"]
+    blocks = max(-(-asking // BLOCK), -(-shingles // BLOCK_SHINGLES))
     for k in range(blocks):
         block = sets.where((F.col("asks") == 1) & (F.pmod(F.xxhash64("node"), F.lit(blocks)) == k))
         found = found.unionByName(stored(_scan(sets, block), "jj-scanned"))

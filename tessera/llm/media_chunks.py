@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunking import chunks, delivered, digest, sharing
-from .shared import stored, table
+from .shared import small, stored, table
 
 PAD = 64
 
@@ -54,7 +54,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
             for keeps, takes, gives, text in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
                 if not keeps.as_py():
@@ -87,7 +87,7 @@ def read(media: DataFrame, parts: DataFrame) -> DataFrame:
 
     def reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(6)]
             for listed, own, extra in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
                 listed, own = listed.as_py(), unpack.decompress(own.as_py())

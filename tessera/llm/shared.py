@@ -7,6 +7,9 @@ import tempfile
 import time
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,15 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of few rows, so that what Python makes of a batch of texts stays
+    small, and free memory is given back at a task's end: workers live on for other tasks."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Catalyst's size of a stored table, which for files is their length."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

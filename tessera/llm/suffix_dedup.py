@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import checked, release, stored, table
+from .shared import checked, release, small, stored, table
 from .words import _BASE, _UNDO, _VALUE, U, _power, groups, mixed
 
 #: Bytes of a repeated string and of an anchor.
@@ -95,7 +95,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     """h, sig, doc, at: the segments of every document; at holds start and number of strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [_bytes(t) for t in batch.column(1).to_pylist()]
             for index, data, ends, base in _pieces(texts):
                 anchor, whole, begin, count = segments(data, ends)
@@ -186,7 +186,7 @@ def _cut(docs: DataFrame, fine: DataFrame) -> DataFrame:
     """key, doc, at, part: the bytes of segments; of a hot anchor, each string on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], []]
             for doc, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
                 doc, data = doc.as_py(), _bytes(text.as_py())
@@ -259,7 +259,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
             for text, runs in zip(batch.column(1), batch.column(2), strict=True):
                 data, flat = _bytes(text.as_py()), runs.as_py() or []
