@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,8 +26,9 @@ from .chunking import chunks, delivered, sharing
 from .shared import small, stored, table
 
 SAFE = re.compile(r"(?<=\S) ")
-#: Pieces whose ids a worker remembers before it starts anew.
-REMEMBERED = 150_000
+AFTER_SPACE = re.compile(r"[^\S ] ")  # a blank that is not safe, but for the second of two
+#: Pieces whose ids a task remembers, and as many again of those before.
+REMEMBERED = 100_000
 
 
 def token_bytes(config: dict) -> list[bytes]:
@@ -49,13 +51,14 @@ class Encoder:
     _held: dict[int, Encoder] = {}
 
     def __init__(self, config: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bytes_of = token_bytes(json.loads(config))
-        self.known: dict[str, bytes] = {}
+        self.forget()
 
     @classmethod
     def of(cls, config: str) -> Encoder:
@@ -68,21 +71,27 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        first, *rest = SAFE.split(text)
-        pieces = [first, *(" " + r for r in rest)]
-        known = self.known
-        missing = list({p for p in pieces if p not in known})
+        if "  " in text or AFTER_SPACE.search(text):
+            first, *rest = SAFE.split(text)
+        else:  # every blank is a safe place
+            first, *rest = text.split(" ")
+        pieces = [first, *[" " + r for r in rest]]
+        missing = {p for p in pieces if p not in self.known}
         if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = list(set(pieces))
-            for piece, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+            if len(self.known) > REMEMBERED:  # what was not asked for since the last time goes
+                self.older, self.known = self.known, {}
+                missing = set(pieces)
+            again = missing & self.older.keys()
+            self.known.update((p, self.older[p]) for p in again)
+            new = list(missing - again)
+            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        return b"".join([self.known[p] for p in pieces])
 
     def forget(self) -> None:
         """At a task's end: the worker lives on, and other work needs its memory."""
-        self.known = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def decode(self, ids: bytes) -> bytes:
         raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -109,7 +118,7 @@ def assembled(data: bytes, encoder: Encoder, taken: dict[bytes, bytes]) -> bytes
     out, waiting = [], b""
     for name, part in chunks(data):
         ids = taken.get(name)
-        if ids is None:
+        if not ids:  # not taken, or without a safe part
             waiting += part
             continue
         a, b = _safe_part(part)

@@ -218,7 +218,7 @@ def test_reused_chunks_encode_as_the_whole(texts):
 
     encoder = bpe.Encoder(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
     r = random.Random(2)
-    for text in ["".join(r.choice(["the ", "été ", "字", "😀", "\n", "  ", "words", "<|endoftext|>"]) for _ in range(4000)) for _ in range(3)] + [texts[-1]]:
+    for text in ["".join(r.choice(["the ", "été ", "字", "😀", "\n", "  ", "words", "<|endoftext|>"]) for _ in range(4000)) for _ in range(3)] + [texts[-1], "é字" * 20_000, "a é" + "é" * 9000 + " b " * 900]:
         taken = {}
         for name, part in chunking.chunks(text.encode()):
             a, b = bpe._safe_part(part)
