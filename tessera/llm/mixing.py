@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stored, table, word_count
+from .shared import checked, stored, table, word_count
 
 #: Words of a block, slots of an output shard, documents that share a packing bucket (about).
 BLOCK_WORDS = 256
@@ -69,57 +69,88 @@ def permuted(index: Column, count: Column, key: Column, rounds: int = 4, walks:
     return F.aggregate(F.array(*[F.lit(i) for i in range(rounds * walks + 1)]), start, step, lambda x: x["hi"] * x["q"] + x["lo"])
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """Rows of ``docs`` with how many of their words the mix takes.
+def _cut(text: Column, start: Column, size: Column, block_words: int) -> Column:
+    """The pieces of a text of ``size`` words that begins at word ``start`` of its bucket, one per
+    block. White space goes with the word after it, at the end with the last, so that the pieces
+    joined are the text."""
+    low, high = F.floor(start / block_words), F.floor((start + size - 1) / block_words)
 
-    Returns doc_id, size, source, source_size, target, taken, tie (hash of the text). A null text has size 0 and is never
-    taken; null sources form one source; repeated rows are separate documents; empty input gives
-    no rows; columns other than doc_id, text and source are not read.
-    """
+    def piece(words: Column, part: Column) -> Column:
+        first = F.greatest(start, part * block_words)
+        n = F.least(start + size, (part + 1) * block_words) - first
+        held = F.slice(words, (first - start + 1).cast("int"), (n + F.when(part == high, 1).otherwise(0)).cast("int"))
+        return F.struct(part.alias("part"), (part - low).alias("nth"), (first - part * block_words).alias("at"), n.alias("words"), F.array_join(held, "").alias("text"))
+
+    words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    # An array of one, so that the text is split once and not once per piece.
+    return F.when(size > 0, F.transform(F.array(words), lambda w: F.transform(F.sequence(low, high), lambda p: piece(w, p)))[0])
+
+
+def _mixed(docs: DataFrame, rest: tuple[str, ...], block_words: int, shard_slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pieces of all documents, the facts of sources, and the pieces in their slots."""
     spark = docs.sparkSession
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
     # One row per source: a plan is made for these on the driver.
-    facts = [(r["source"], int(r["n"]), int(r["docs"])) for r in totals.collect()]
-    plan = source_targets([(s, n) for s, n, _ in facts])
-    docs_of = {s: d for s, _, d in facts}
-    buckets = {s: max(1, -(-docs_of[s] // BUCKET_DOCS)) for s, _, _ in plan}
-    sources = spark.createDataFrame([(i, s, n, t, buckets[s]) for i, (s, n, t) in enumerate(plan)], "sid int, src string, source_size long, target double, buckets long")
-    small = F.broadcast(sources)  # as many rows as there are sources, already held above
-
-    keyed = sized.join(small, F.col("source").eqNullSafe(F.col("src")))
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie"), F.col("buckets")))
+    docs_of = {r["source"]: int(r["docs"]) for r in docs.groupBy("source").agg(F.count("*").alias("docs")).collect()}
+    order = sorted(docs_of, key=lambda s: (s is None, s or ""))
+    ids = spark.createDataFrame([(i, s, -(-docs_of[s] // BUCKET_DOCS)) for i, s in enumerate(order)], "sid int, src string, buckets long")
+    more = [F.struct(*rest).alias("rest")] if rest else []
+    sized = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), *more)
+    keyed = sized.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("src")))  # as many rows as there are sources
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie"), F.col("buckets"))).drop("src", "buckets")
     run = W.partitionBy("sid", "bucket").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = keyed.withColumn("end", F.sum("size").over(run)).withColumn("start", F.col("end") - F.col("size"))
-    placed = stored(placed.select("doc_id", "size", "source", "tie", "sid", "source_size", "target", "bucket", "start", "end"), "mix-placed")
+    placed = keyed.withColumn("start", F.sum("size").over(run) - F.col("size"))
+    placed = placed.withColumn("piece", F.explode_outer(_cut(F.col("text"), F.col("start"), F.col("size"), block_words)))
+    pieces = placed.select("doc_id", "source", "size", "tie", "sid", "bucket", "start", *(["rest"] if rest else []), "piece.*")
+    pieces = stored(pieces.withColumn("nth", F.coalesce("nth", F.lit(0))), "mix-pieces")
 
-    packed = placed.groupBy("sid", "bucket").agg(F.max("end").alias("words"))
-    packed = packed.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("long"))
+    packed = pieces.groupBy("sid", "bucket").agg(F.coalesce(F.max(F.col("part") + 1), F.lit(0)).alias("blocks"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
     packed = stored(packed, "mix-buckets")
+    facts = {r["sid"]: (int(r["n"]), int(r["b"])) for r in packed.groupBy("sid").agg(F.sum("words").alias("n"), F.sum("blocks").alias("b")).collect()}
+    plan = source_targets([(s, facts[i][0]) for i, s in enumerate(order)])
+    held = {i: b for i, (_, b) in facts.items()}
+    sources = spark.createDataFrame([(i, n, t) for i, (_, n, t) in enumerate(plan)], "sid int, source_size long, target double")
     first = _running(packed.select("sid", F.col("bucket").alias("shard"), F.col("blocks").alias("n")))
-    firsts = first.select("sid", F.col("shard").alias("bucket"), F.col("before").alias("first_block"))
-    held = {r["sid"]: int(r["b"]) for r in packed.groupBy("sid").agg(F.sum("blocks").alias("b")).collect()}
+    firsts = stored(first.select("sid", F.col("shard").alias("bucket"), F.col("before").alias("first_block")), "mix-firsts")
 
     # Slots a source has to get: its target over the mean words of its blocks.
     need = [(i, held.get(i, 0), min(MAX_REPEATS * held.get(i, 0), int(round(t * held.get(i, 0) / n))) if n else 0) for i, (_, n, t) in enumerate(plan)]
     slots = sum(k for _, _, k in need)
-    if not slots:
-        return placed.select("doc_id", "size", "source", "source_size", "target", F.lit(0).cast("long").alias("taken"), "tie")
-    uses = _block_uses(spark, need, slots, shard_slots)
-
-    spans = placed.where("size > 0").join(firsts, ["sid", "bucket"])
-    low, high = F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words)
-    spans = spans.withColumn("part", F.explode(F.sequence(low, high)))
-    inside = F.least("end", (F.col("part") + 1) * block_words) - F.greatest("start", F.col("part") * block_words)
-    spans = spans.select("doc_id", "size", "sid", "bucket", "start", (F.col("first_block") + F.col("part")).alias("block"), inside.alias("words"))
-    taken = spans.join(uses, ["sid", "block"]).groupBy("sid", "bucket", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.col("uses")).alias("got"))
+    drawn = stored(_slots(spark, need, slots, shard_slots), "mix-read") if slots else spark.createDataFrame([], "shard long, slot long, sid int, block long")
+    blocks = pieces.where("words > 0").join(checked(firsts), ["sid", "bucket"]).withColumn("block", F.col("first_block") + F.col("part"))
+    dealt = blocks.join(checked(drawn), ["sid", "block"])
+    return pieces, sources, dealt.select("shard", "slot", "source", "block", "at", "doc_id", "words", "text", *(["rest"] if rest else []), "sid", "bucket", "start")
+
+
+def shards(docs: DataFrame, *rest: str, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mixed corpus: the block that stands in each slot of each shard, with its text.
+
+    Returns shard, slot, source, block (number within the source), at, doc_id, words, text, and
+    ``rest``, a struct of the document's columns of these names, where any are given. A block is
+    the rows of its slot in the order of ``at``, the number of the row's first word in the block;
+    each holds that document's part of the block, white space included. Slots are numbered
+    through all shards. A document without words is in no block.
+    """
+    return _mixed(docs, rest, block_words, shard_slots)[2].drop("sid", "bucket", "start")
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Rows of ``docs`` with how many of their words the mix takes, counted in its shards.
+
+    Returns doc_id, size, source, source_size, target, taken, tie (hash of the text). A null text has size 0 and is never
+    taken; null sources form one source; repeated rows are separate documents; empty input gives
+    no rows; columns other than doc_id, text and source are not read.
+    """
+    pieces, sources, dealt = _mixed(docs, (), block_words, shard_slots)
+    dealt = stored(dealt, "mix-shards")
     # A document of words is the only one to start where it does in its bucket.
-    full = placed.where("size > 0").join(taken, ["sid", "bucket", "start", "doc_id", "size"], "left").unionByName(placed.where("size = 0"), allowMissingColumns=True)
+    taken = dealt.groupBy("sid", "bucket", "start").agg(F.sum("words").alias("got"))
+    whole = pieces.where("nth = 0").join(F.broadcast(sources), "sid")  # as many rows as there are sources
+    full = whole.where("size > 0").join(taken, ["sid", "bucket", "start"], "left").unionByName(whole.where("size = 0"), allowMissingColumns=True)
     return full.select("doc_id", "size", "source", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "tie")
 
 
-def _block_uses(spark: SparkSession, need: list[tuple[int, int, int]], slots: int, shard_slots: int) -> DataFrame:
-    """How often each block of each source is read: sid, block, uses."""
+def _slots(spark: SparkSession, need: list[tuple[int, int, int]], slots: int, shard_slots: int) -> DataFrame:
+    """The block that each slot of each shard reads: shard, slot, sid, block."""
     bounds, at = [], 0
     for i, _, k in need:
         bounds.append((i, at / slots, (at + k) / slots))
@@ -147,9 +178,9 @@ def _block_uses(spark: SparkSession, need: list[tuple[int, int, int]], slots: in
             short.append((i, k - g, g))
     # Surplus draws, numbered through all sources, fill what other sources lack.
     info = F.broadcast(spark.createDataFrame(plan, "sid int, blocks long, k long, spare long"))
-    numbered = numbered.select("sid", "j").join(info, "sid")
-    keep = numbered.where("j < k").select("sid", "j", "blocks")
-    extra = numbered.where("j >= k").select((F.col("spare") + F.col("j") - F.col("k")).alias("e"))
+    numbered = numbered.select("shard", "slot", "sid", "j").join(info, "sid")
+    keep = numbered.where("j < k").select("shard", "slot", "sid", "j", "blocks")
+    extra = numbered.where("j >= k").select("shard", "slot", (F.col("spare") + F.col("j") - F.col("k")).alias("e"))
     new_sid, new_j, new_blocks, at = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long"), 0
     blocks_of = {i: b for i, b, _ in need}
     for i, lack, g in short:
@@ -158,10 +189,10 @@ def _block_uses(spark: SparkSession, need: list[tuple[int, int, int]], slots: in
         new_j = F.when(here, F.col("e") - at + g).otherwise(new_j)
         new_blocks = F.when(here, F.lit(blocks_of[i])).otherwise(new_blocks)
         at += lack
-    moved = extra.select(new_sid.alias("sid"), new_j.alias("j"), new_blocks.cast("long").alias("blocks"))
+    moved = extra.select("shard", "slot", new_sid.alias("sid"), new_j.alias("j"), new_blocks.cast("long").alias("blocks"))
     every = keep.unionByName(moved.where("sid is not null"))
     block = permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.col("sid"))
-    return every.withColumn("block", block).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    return every.select("shard", "slot", "sid", block.alias("block"))
 
 
 def _running(counts: DataFrame, span: int = 4096) -> DataFrame:

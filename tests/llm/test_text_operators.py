@@ -300,6 +300,30 @@ def test_mixing(docs):
     assert abs(sum(g for _, g in target.values()) - sum(size.values())) < 1e-6
 
 
+def test_shards_hold_the_blocks(docs):
+    """Every slot holds one block of whole words, pieces make up the texts, and taken counts them."""
+    found = mixing.shards(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), "lang", block_words=16, shard_slots=8).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    slots, words, pieces, uses = {}, Counter(), {}, {}
+    for r in found:
+        assert r["shard"] == r["slot"] // 8 and r["words"] == len(GAP.findall(r["text"])) > 0 and r["rest"]["lang"] == "en"
+        slots.setdefault(r["slot"], []).append(r)
+        words[r["doc_id"]] += r["words"]
+        assert pieces.setdefault((r["doc_id"], r["block"]), r["text"]) == r["text"] in texts[r["doc_id"]]
+    assert sorted(slots) == list(range(len(slots)))
+    for rows in slots.values():
+        rows.sort(key=lambda r: r["at"])
+        assert len({(r["source"], r["block"]) for r in rows}) == 1 and sum(r["words"] for r in rows) <= 16
+        assert [r["at"] for r in rows] == [sum(r["words"] for r in rows[:k]) for k in range(len(rows))]
+        uses.setdefault(rows[0]["source"], Counter())[rows[0]["block"]] += 1
+    assert all(max(n.values()) - min(n.values()) <= 1 for n in uses.values())
+    whole = {i: "".join(pieces[k] for k in sorted(pieces) if k[0] == i) for i, _ in pieces}
+    got = {r["doc_id"]: r for r in mixing.mix(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), block_words=16, shard_slots=8).collect()}
+    assert {i: r["taken"] for i, r in got.items() if r["taken"]} == words
+    full = [i for i, r in got.items() if r["size"] and r["target"] >= 1.1 * r["source_size"]]
+    assert full and all(whole[i] == texts[i] for i in full)
+
+
 def test_permutation_is_a_bijection(spark):
     from pyspark.sql import functions as F
 
