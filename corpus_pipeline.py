@@ -37,11 +37,15 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them: words taken over size, rounded."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "tie").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    taken = stored(taken.where("times > 0").select(F.col("doc_id").alias("of"), "tie", "times"), "pipeline-taken")
-    same = docs["doc_id"].eqNullSafe(taken["of"]) & (F.xxhash64(docs["text"]) == taken["tie"])
-    return docs.join(checked(taken), same).withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).select(*[docs[c] for c in docs.columns])
+    """The mix's own blocks: a row for each document's part of the block of each slot, so that
+    words per source meet the target however long a document is. n_chars (where there is one)
+    follows the text."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    parts = mixing.shards(docs, *rest)
+    columns = {c: F.col(f"rest.{c}") for c in rest} | {c: F.col(c) for c in ("doc_id", "source", "text")}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return parts.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

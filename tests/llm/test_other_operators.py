@@ -188,3 +188,23 @@ def test_pipeline(spark):
             assert docs.select("doc_id").distinct().count() == counts[-1]
     assert 0 < counts[2] <= counts[1] <= counts[0] and counts[2] == counts[3] and counts[4] == counts[5]
     assert p.ORACLE_SQL is None
+
+
+def test_pipeline_mix_meets_the_targets(spark):
+    """Long documents and short ones, sources below half and above their size."""
+    import corpus_pipeline as p
+
+    from tessera.llm import mixing
+
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(n)), f"s{s}", 1) for s in range(6) for k, n in ((1000 * s + j, 3000 if j % 3 == 0 else 90) for j in range(12))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int")
+    size, got = {}, {}
+    for _, text, s, _ in rows:
+        size[s] = size.get(s, 0) + len(text.split())
+    found = (mixed := p.mixed(spark, docs, DIR)).collect()
+    for r in found:
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert mixed.schema == docs.schema
+    for s, _, target in mixing.source_targets(list(size.items())):
+        assert abs(got.get(s, 0) - target) <= mixing.BLOCK_WORDS
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
