@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
-Texts are cut by a rolling hash; a chunk that several texts share is encoded once, by its owner,
-and a Spark join delivers its ids to the others. Cuts fall inside words, so of a chunk only the
-part between its first and last safe place is reused, and the text from the last safe place of
-one chunk to the first of the next is encoded again. A safe place is a blank after a character
-that is no white space: the splitter always ends a piece there, and looks neither further
-back nor, from a piece ending there, further ahead, so both sides encode as in the whole text.
+Texts are cut by a rolling hash, and Spark counts the chunks' digests over all texts. A chunk that
+several texts share is encoded once, by its owner, and a join delivers its ids to the others.
+A chunk's ids are right only inside: its first pieces depend on what stands before it and its last
+ones on what follows. So a joint is repaired by re-encoding: from the last piece that is sure
+before it, over a window that grows into the chunk, and on over later chunks if need be, until a
+piece of the re-encoding begins where a piece of the chunk begins. From there on both agree exactly,
+as the splitter reads from left to right and pieces are encoded one by one.
 """
 
 from __future__ import annotations
@@ -22,13 +23,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunking import chunks, delivered, sharing
-from .shared import small, stored, table
+from .chunking import chunks, delivered, sharing, with_copies
+from .shared import freed, small, stored, table
 
-SAFE = re.compile(r"(?<=\S) ")
-AFTER_SPACE = re.compile(r"[^\S ] ")  # a blank that is not safe, but for the second of two
-#: Pieces whose ids a task remembers, and as many again of those before.
-REMEMBERED = 100_000
+#: Least and most bytes of a chunk, and the zero bits of a cut: small chunks find more sharing.
+LEAST, MOST, CUT_BITS = 64, 2048, 7
+#: A piece is sure when so many bytes follow it: the splitter looks at most three characters ahead.
+AHEAD = 12
+#: Bytes of a chunk that the first window of a repair takes; text before it that is encoded at once.
+WINDOW, PENDING = 48, 1024
+#: Marks, in a chunk's ids, those that begin a piece.
+FIRST = np.uint32(1 << 31)
+COLUMNS = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def token_bytes(config: dict) -> list[bytes]:
@@ -46,9 +52,7 @@ def token_bytes(config: dict) -> list[bytes]:
 
 
 class Encoder:
-    """The tokenizer of a JSON file, remembering the ids of pieces between safe places."""
-
-    _held: dict[int, Encoder] = {}
+    """The tokenizer of a JSON file. Made in a task and dropped at its end."""
 
     def __init__(self, config: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -57,83 +61,109 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bytes_of = token_bytes(json.loads(config))
-        self.forget()
-
-    @classmethod
-    def of(cls, config: str) -> Encoder:
-        key = hash(config)
-        if key not in cls._held:
-            cls._held = {key: cls(config)}
-        return cls._held[key]
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if "  " in text or AFTER_SPACE.search(text):
-            first, *rest = SAFE.split(text)
-        else:  # every blank is a safe place
-            first, *rest = text.split(" ")
-        pieces = [first, *[" " + r for r in rest]]
-        missing = {p for p in pieces if p not in self.known}
-        if missing:
-            if len(self.known) > REMEMBERED:  # what was not asked for since the last time goes
-                self.older, self.known = self.known, {}
-                missing = set(pieces)
-            again = missing & self.older.keys()
-            self.known.update((p, self.older[p]) for p in again)
-            new = list(missing - again)
-            for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([self.known[p] for p in pieces])
-
-    def forget(self) -> None:
-        """At a task's end: the worker lives on, and other work needs its memory."""
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def decode(self, ids: bytes) -> bytes:
-        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw.decode("utf-8", "replace").encode()
-
-
-def _safe_part(part: bytes) -> tuple[int, int]:
-    """From and to of the reusable part of a chunk in bytes; equal where there is none."""
-    text = part.decode("utf-8", "ignore")
-    # Bytes of a character that the cut divides stand outside the safe part at either end.
-    lead = next((k for k in range(min(4, len(part))) if part[k] & 0xC0 != 0x80), 0)
-    text = part[lead:].decode("utf-8", "ignore")
-    first, last = SAFE.search(text), text.rfind(" ")
-    while last > 0 and text[last - 1].isspace():
-        last = text.rfind(" ", 0, last)
-    if not first or last <= first.start():
-        return 0, 0
-    a = lead + len(text[: first.start()].encode())
-    return a, a + len(text[first.start() : last].encode())
-
-
-def assembled(data: bytes, encoder: Encoder, taken: dict[bytes, bytes]) -> bytes:
-    """Ids of a whole text of UTF-8 ``data``, using the ids of the safe parts of taken chunks."""
-    out, waiting = [], b""
-    for name, part in chunks(data):
-        ids = taken.get(name)
-        if not ids:  # not taken, or without a safe part
-            waiting += part
-            continue
-        a, b = _safe_part(part)
-        out += [encoder.encode((waiting + part[:a]).decode()), ids]
-        waiting = part[b:]
-    out.append(encoder.encode(waiting.decode()))
-    return b"".join(out)
-
-
-def _results(ids: bytes, encoder: Encoder) -> tuple[int, str, str]:
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
-
-
-def _utf8(text: str | None) -> bytes:
-    return (text or "").encode()
+        values = json.loads(config)
+        self.bytes_of = token_bytes(values)
+        self.length = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.added = {t["content"]: t["id"] for t in values["added_tokens"]}
+        self.reused = self.total = 0  # bytes whose ids came from elsewhere, and all
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def marked(self, data: bytes) -> np.ndarray:
+        """Ids of a text without added tokens; those that begin a piece carry FIRST."""
+        found = self.tokenizer.encode(data.decode(), add_special_tokens=False)
+        ids, words = np.array(found.ids, np.uint32), np.array([-1, *found.word_ids], np.int64)
+        ids[words[1:] != words[:-1]] |= FIRST
+        return ids
+
+    def starts(self, marked: np.ndarray) -> np.ndarray:
+        """Where each id begins, in bytes."""
+        size = self.length[marked & ~FIRST]
+        return np.cumsum(size) - size
+
+    def joined(self, parts: list[tuple[bytes, bytes]], taken: dict[bytes, bytes]) -> list[np.ndarray]:
+        """Ids of the chunks ``parts`` that follow each other, with the ids of those taken."""
+        out: list[np.ndarray] = []
+        pending = b""
+        for name, part in parts:
+            self.total += len(part)
+            if name not in taken:
+                pending += part
+                continue
+            own = np.frombuffer(taken[name], "<u4")
+            at = self.starts(own)
+            sure = at[(own & FIRST) != 0]
+            sure = sure[sure <= len(part) - AHEAD]
+            if len(pending) > PENDING:
+                pending = self._settled(pending, out)
+            met = self._met(pending, part, sure) if len(sure) else None
+            if met is None or met[1] >= sure[-1]:  # nothing agrees yet: on to what follows
+                pending += part
+                continue
+            out += [met[0], own[np.searchsorted(at, met[1]) : np.searchsorted(at, sure[-1])] & ~FIRST]
+            self.reused += int(sure[-1]) - met[1]
+            pending = part[int(sure[-1]) :]
+        if pending:
+            out.append(self.marked(pending) & ~FIRST)
+        return out
+
+    def _settled(self, pending: bytes, out: list[np.ndarray]) -> bytes:
+        """Encode ``pending`` but for its last sure piece and what follows, which are returned."""
+        ids = self.marked(pending)
+        at = self.starts(ids)
+        sure = at[((ids & FIRST) != 0) & (at <= len(pending) - AHEAD)]
+        if not len(sure) or not sure[-1]:
+            return pending
+        out.append(ids[: np.searchsorted(at, sure[-1])] & ~FIRST)
+        return pending[int(sure[-1]) :]
+
+    def _met(self, pending: bytes, part: bytes, sure: np.ndarray) -> tuple[np.ndarray, int] | None:
+        """(ids of pending and the part's first bytes, how many bytes): up to the first place where
+        the re-encoding and the chunk both begin a piece."""
+        if not pending:
+            return np.zeros(0, np.uint32), int(sure[0])
+        width = WINDOW
+        while True:
+            end = min(width, len(part))
+            while end < len(part) and part[end] & 0xC0 == 0x80:
+                end += 1
+            ids = self.marked(pending + part[:end])
+            at = self.starts(ids) - len(pending)
+            begins = at[((ids & FIRST) != 0) & (at >= 0)]
+            both = np.intersect1d(begins[begins <= end - AHEAD], sure)
+            if len(both):
+                return ids[: np.searchsorted(at, both[0])] & ~FIRST, int(both[0])
+            if end == len(part):
+                return None
+            width *= 2
+
+    def assembled(self, text: str, taken: dict[bytes, bytes]) -> np.ndarray:
+        """Ids of a whole text, using those of its taken chunks."""
+        out: list[np.ndarray] = []
+        for special, parts in pieces(text, tuple(self.added)):
+            if special is not None:
+                out.append(np.array([self.added[special]], np.uint32))
+            else:
+                out += self.joined(parts, taken)
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").encode()
+
+
+def pieces(text: str, added: tuple[str, ...]) -> Iterator[tuple[str | None, list[tuple[bytes, bytes]]]]:
+    """The text's added tokens (token, []) and the chunks of what stands between them."""
+    between = re.split("(" + "|".join(map(re.escape, added)) + ")", text) if added else [text]
+    for k, part in enumerate(between):
+        if k % 2:
+            yield part, []
+        elif part:
+            yield None, chunks(part.encode(), LEAST, MOST, CUT_BITS, characters=True)
+
+
+def _results(ids: np.ndarray, encoder: Encoder) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -144,55 +174,62 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        config = spark.sparkContext.broadcast(f.read())  # the vocabulary file, of fixed size
-    rows, held = sharing(docs, _utf8, "bpe")
-    columns = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+        text_of = f.read()
+    config = spark.sparkContext.broadcast(text_of)  # the vocabulary file, of fixed size
+    added = tuple(t["content"] for t in json.loads(text_of)["added_tokens"])
+
+    def cut(text: str | None) -> list[tuple[bytes, bytes]]:
+        return [c for _, parts in pieces(text or "", added) for c in parts]
+
+    rows, held = sharing(docs, cut, "bpe")
+    types = [pa.int64(), pa.string(), pa.string()]
     item = pa.list_(pa.struct([("digest", pa.binary()), ("ids", pa.binary())]))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = Encoder.of(config.value), zstandard.ZstdCompressor(level=1)
+        """Texts that take nothing, and the chunks that texts give."""
+        encoder, pack = Encoder(config.value), zstandard.ZstdCompressor(level=1)
         for batch in small(batches):
             out: list[list] = [[], [], [], []]
-            for keeps, takes, gives, text in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-                values: tuple = (None, None, None)
-                given = []
-                if keeps.as_py():
-                    data = _utf8(text.as_py())
-                    if not takes.as_py():
-                        values = _results(encoder.encode(data.decode()), encoder)
-                    wanted = set(gives.as_py() or ())
-                    for name, part in chunks(data) if wanted else ():
-                        if name in wanted:
-                            wanted.discard(name)
-                            a, b = _safe_part(part)
-                            given.append({"digest": name, "ids": pack.compress(encoder.encode(part[a:b].decode()))})
+            for takes, gives, text in zip(*(batch.column(i) for i in range(3, 6)), strict=True):
+                text, values, given = text.as_py() or "", (None, None, None), []
+                if not takes.as_py():
+                    values = _results(encoder.ids(text), encoder)
+                wanted = set(gives.as_py() or ())
+                for name, part in cut(text) if wanted else ():
+                    if name in wanted:
+                        wanted.discard(name)
+                        given.append({"digest": name, "ids": pack.compress(encoder.marked(part).astype("<u4").tobytes())})
                 for column, value in zip(out, (*values, given), strict=True):
                     column.append(value)
-            arrays = [pa.array(c, t) for c, (_, t) in zip(out, [*columns, ("gives", item)], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *arrays], names=["doc_id", "key", "keeps", *(n for n, _ in columns), "gives"])
-        encoder.forget()
-
-    schema = "key binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    done = stored(rows.mapInArrow(first, f"doc_id bigint, keeps boolean, {schema}, gives array<struct<digest:binary,ids:binary>>".replace("doc_id bigint, keeps boolean, key binary", "doc_id bigint, key binary, keeps boolean")), "bpe-first")
+            arrays = [pa.array(c, t) for c, t in zip(out, [*types, item], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], names=["doc_id", "key", "copied", *COLUMNS, "gives"])
+        del encoder
+        freed()
+
+    schema = "doc_id bigint, key binary, copied boolean, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    kept = rows.where("keeps").select("doc_id", "key", "copied", "takes", "gives", "text")
+    done = stored(kept.mapInArrow(first, schema + ", gives array<struct<digest:binary,ids:binary>>"), "bpe-first")
     given = done.where("size(gives) > 0").select(F.explode("gives").alias("g")).select("g.digest", "g.ids")
-    parts = delivered(held, given, "ids")
+    parts = delivered(held.where("size(takes) > 0"), given, "ids", "bpe")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, unpack = Encoder.of(config.value), zstandard.ZstdDecompressor()
+        """Texts that take chunks."""
+        encoder, unpack = Encoder(config.value), zstandard.ZstdDecompressor()
         for batch in small(batches):
             out: list[list] = [[], [], []]
-            for text, taken in zip(batch.column(1), batch.column(2), strict=True):
+            for text, taken in zip(batch.column(3), batch.column(4), strict=True):
                 ids = {x["digest"]: unpack.decompress(x["ids"]) for x in taken.as_py()}
-                for column, value in zip(out, _results(assembled(_utf8(text.as_py()), encoder, ids), encoder), strict=True):
+                for column, value in zip(out, _results(encoder.assembled(text.as_py() or "", ids), encoder), strict=True):
                     column.append(value)
-            arrays = [pa.array(c, t) for c, (_, t) in zip(out, columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["key", *(n for n, _ in columns)])
-        encoder.forget()
-
-    joined = rows.where("keeps and size(takes) > 0").select("key", "text").join(parts, "key").select("key", "text", "parts")
-    ready = done.where("keeps and n_tokens is not null").select("key", *(n for n, _ in columns))
-    found = ready.unionByName(joined.mapInArrow(second, schema)).dropDuplicates(["key"])
-    return done.select("doc_id", "key").join(found, "key").drop("key")
+            arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], names=["doc_id", "key", "copied", *COLUMNS])
+        del encoder
+        freed()
+
+    taking = rows.where("keeps and size(takes) > 0").join(parts, "key").select("doc_id", "key", "copied", "text", "parts")
+    ready = done.where("n_tokens is not null").drop("gives")
+    found = stored(ready.unionByName(taking.mapInArrow(second, schema)), "bpe-found")
+    return with_copies(rows, found, COLUMNS)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,10 +60,15 @@ def digest(part: bytes) -> bytes:
     return hashlib.blake2b(part, digest_size=16).digest()
 
 
-def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
-    """(digest, bytes) of each chunk in order."""
+def chunks(data: bytes, least: int = LEAST, most: int = MOST, bits: int = CUT_BITS, characters: bool = False) -> list[tuple[bytes, bytes]]:
+    """(digest, bytes) of each chunk in order; with ``characters`` a cut inside a UTF-8 character
+    moves to that character's end, which equal content does alike."""
     start, found = 0, []
-    for end in cuts(data):
+    for end in cuts(data, least, most, bits):
+        while characters and end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        if end <= start:
+            continue
         part = data[start:end]
         found.append((digest(part), part))
         start = end
@@ -74,14 +79,14 @@ def text_key() -> F.Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
-def digests(docs: DataFrame, prepare: Callable[[str | None], bytes]) -> DataFrame:
-    """key, digest: the different chunks of each text."""
+def digests(docs: DataFrame, cut: Callable[[str | None], list[tuple[bytes, bytes]]]) -> DataFrame:
+    """key, digest: the different chunks of each text; ``cut`` gives a text's (digest, bytes)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             keys, parts = [], []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = {d for d, _ in chunks(prepare(text.as_py()))}
+                own = {d for d, _ in cut(text.as_py())}
                 keys += [key.as_py()] * len(own)
                 parts += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(parts, pa.binary())], names=["key", "digest"])
@@ -89,26 +94,40 @@ def digests(docs: DataFrame, prepare: Callable[[str | None], bytes]) -> DataFram
     return docs.select(text_key().alias("key"), "text").mapInArrow(found, "key binary, digest binary")
 
 
-def sharing(docs: DataFrame, prepare: Callable[[str | None], bytes], name: str) -> tuple[DataFrame, DataFrame]:
+def sharing(docs: DataFrame, cut: Callable[[str | None], list[tuple[bytes, bytes]]], name: str) -> tuple[DataFrame, DataFrame]:
     """(rows, held). held: key and the digests that a text takes from others and gives to them,
-    for texts with shared chunks. rows: doc_id, key, keeps, takes, gives, text, where keeps marks,
-    of equal texts, the one with the least doc_id."""
-    all_digests = stored(digests(docs, prepare), f"{name}-digests")
+    for texts with shared chunks. rows: doc_id, key, copied, keeps, takes, gives, text, where
+    copied marks texts that several rows have, and keeps, of those, that with the least doc_id.
+
+    A digest of very many texts is counted with partial sums, and joined as a broadcast or by a
+    sort-merge join of two plain exchanges, which AQE splits where one key is large."""
+    all_digests = stored(digests(docs, cut), f"{name}-digests")
     seen = all_digests.groupBy("digest").agg(F.min("key").alias("owner"), F.max("key").alias("other"))
     shared = stored(seen.where("owner <> other").select("digest", "owner"), f"{name}-shared")
     mine = F.col("owner") == F.col("key")
-    held = all_digests.distinct().join(checked(shared), "digest").groupBy("key").agg(
+    held = all_digests.join(checked(shared), "digest").groupBy("key").agg(
         F.collect_set(F.when(~mine, F.col("digest"))).alias("takes"), F.collect_set(F.when(mine, F.col("digest"))).alias("gives")
     )
     held = stored(held, f"{name}-held")
-    copies = docs.groupBy(text_key().alias("key")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    copies = docs.groupBy(text_key().alias("key")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first", F.lit(True).alias("copied"))
     copies = stored(copies, f"{name}-copies")
     rows = docs.select("doc_id", text_key().alias("key"), "text").join(checked(held), "key", "left").join(checked(copies), "key", "left")
+    copied = F.coalesce("copied", F.lit(False))
     keeps = F.col("first").isNull() | F.col("first").eqNullSafe(F.col("doc_id"))
-    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "key", keeps.alias("keeps"), "takes", "gives", "text"), held
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "key", copied.alias("copied"), keeps.alias("keeps"), "takes", "gives", "text"), held
 
 
-def delivered(held: DataFrame, given: DataFrame, value: str) -> DataFrame:
-    """key, parts: what each text takes, from the owners' (digest, ``value``) rows."""
+def delivered(held: DataFrame, given: DataFrame, value: str, name: str) -> DataFrame:
+    """key, parts: what each text takes, from the owners' (digest, ``value``) rows, which are
+    stored first: then both sides of the join are plain exchanges."""
     wanted = held.select("key", F.explode("takes").alias("digest"))
-    return wanted.join(given.dropDuplicates(["digest"]), "digest").groupBy("key").agg(F.collect_list(F.struct("digest", value)).alias("parts"))
+    once = stored(given.dropDuplicates(["digest"]), f"{name}-given")
+    return wanted.join(checked(once), "digest").groupBy("key").agg(F.collect_list(F.struct("digest", value)).alias("parts"))
+
+
+def with_copies(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id and ``columns`` of every row. found (stored): doc_id, key, copied and the columns of
+    the rows that keep their text; the other rows of a text get those of one that keeps it."""
+    once = stored(found.where("copied").select("key", *columns).dropDuplicates(["key"]), "copied")
+    others = rows.where("not keeps").select("doc_id", "key").join(checked(once), "key")
+    return found.select("doc_id", *columns).unionByName(others.select("doc_id", *columns))

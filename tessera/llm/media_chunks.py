@@ -19,10 +19,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunking import chunks, delivered, digest, sharing
+from .chunking import chunks, delivered, digest, sharing, with_copies
 from .shared import small, stored, table
 
 PAD = 64
+COLUMNS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -44,19 +45,19 @@ def features(samples: bytes) -> str:
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Write the media of all texts: (media, parts).
 
-    media: doc_id, key, n_bytes, list (digests and lengths in order), own (the text's own chunks,
+    media: doc_id, key, copied, keeps, n_bytes, list (digests and lengths in order), own (the text's own chunks,
     compressed), foreign (whether it needs other texts' chunks); of equal texts only that with
     the least doc_id has more than its key. parts: key and the foreign chunks of a text.
     """
-    rows, held = sharing(docs, lambda text: payload(text)[1], "media")
-    schema = "doc_id bigint, key binary, n_bytes bigint, list binary, own binary, foreign boolean, gives array<struct<digest:binary,chunk:binary>>"
+    rows, held = sharing(docs, lambda text: chunks(payload(text)[1]), "media")
+    schema = "doc_id bigint, key binary, copied boolean, keeps boolean, n_bytes bigint, list binary, own binary, foreign boolean, gives array<struct<digest:binary,chunk:binary>>"
     item = pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
-            for keeps, takes, gives, text in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
+            for keeps, takes, gives, text in zip(*(batch.column(i) for i in range(3, 7)), strict=True):
                 if not keeps.as_py():
                     for column, value in zip(out, (None, None, None, False, None), strict=True):
                         column.append(value)
@@ -71,25 +72,26 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out[3].append(bool(takes))
                 out[4].append([{"digest": d, "chunk": pack.compress(p)} for d, p in {d: p for d, p in parts if d in gives}.items()])
             arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.bool_(), item), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "key", "n_bytes", "list", "own", "foreign", "gives"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *arrays], names=["doc_id", "key", "copied", "keeps", "n_bytes", "list", "own", "foreign", "gives"])
 
     media = stored(rows.mapInArrow(write, schema), "media")
     given = media.where("size(gives) > 0").select(F.explode("gives").alias("g")).select("g.digest", "g.chunk")
-    return media, delivered(held, given, "chunk")
+    return media, delivered(held, given, "chunk", "media")
 
 
 def read(media: DataFrame, parts: DataFrame) -> DataFrame:
     """Put every stored payload together, verify each chunk, and compute the result columns."""
-    kept = media.where("list is not null").select("key", "n_bytes", "list", "own", "foreign")
-    whole = kept.where("not foreign").select("key", "n_bytes", "list", "own", F.lit(None).cast("array<struct<digest:binary,chunk:binary>>").alias("parts"))
-    joined = kept.where("foreign").join(parts, "key").select("key", "n_bytes", "list", "own", "parts")
-    schema = "key binary, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    own = ["doc_id", "key", "copied", "n_bytes", "list", "own"]
+    kept = media.where("list is not null").select(*own, "foreign")
+    whole = kept.where("not foreign").select(*own, F.lit(None).cast("array<struct<digest:binary,chunk:binary>>").alias("parts"))
+    joined = kept.where("foreign").join(parts, "key").select(*own, "parts")
+    schema = "doc_id bigint, key binary, copied boolean, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
     def reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in small(batches):
             out: list[list] = [[] for _ in range(6)]
-            for listed, own, extra in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
+            for listed, own, extra in zip(*(batch.column(i) for i in (4, 5, 6)), strict=True):
                 listed, own = listed.as_py(), unpack.decompress(own.as_py())
                 foreign = {x["digest"]: unpack.decompress(x["chunk"]) for x in extra.as_py() or ()}
                 built, at = [], 0
@@ -106,7 +108,7 @@ def read(media: DataFrame, parts: DataFrame) -> DataFrame:
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *arrays], names=["doc_id", "key", "copied", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return whole.unionByName(joined).mapInArrow(reads, schema)
 
@@ -120,8 +122,8 @@ def measure(docs: DataFrame) -> DataFrame:
     followed by its chunks.
     """
     media, parts = store(docs)
-    found = read(media, parts).dropDuplicates(["key"])
-    return media.select("doc_id", "key").join(found, "key").drop("key")
+    found = stored(read(media, parts), "media-read")
+    return with_copies(media, found, COLUMNS)
 
 
 def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

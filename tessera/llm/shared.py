@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
-import time
 import uuid
-
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,49 +22,79 @@ BROADCAST_BYTES = 32 << 20
 #: White space that separates words: space and the controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Rows and bytes of text that Python handles at once; a longer text is alone.
+PIECE_ROWS = 512
+PIECE_BYTES = 4 << 20
+#: Spark's setting by which shuffle files go when the query that wrote them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in tests."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one that goes
+    with the process, in local mode only; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and the shuffle
+    files of this step go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished stages that nothing refers to any more. The
-    event of a query's end refers to its plan until listeners have seen it, hence the pauses."""
-    for _ in range(2):
-        time.sleep(0.7)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
-def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces of few rows, so that what Python makes of a batch of texts stays
-    small, and free memory is given back at a task's end: workers live on for other tasks."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+def freed() -> None:
+    """Give free memory back to the system: a Python worker lives on for other tasks."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of few rows and bytes, so that what Python makes of a batch of texts
+    stays small; a row of more bytes is a piece of its own. At a task's end memory is given back."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.cumsum(size)
+        start = 0
+        while start < batch.num_rows:
+            before = total[start - 1] if start else 0
+            end = min(start + rows, max(start + 1, int(np.searchsorted(total, before + most, "right"))))
+            yield batch.slice(start, end - start)
+            start = end
+    freed()
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Catalyst's size of a stored table, which for files is their length."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
