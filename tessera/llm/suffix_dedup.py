@@ -2,15 +2,17 @@
 
 Every string of MATCH bytes is assigned to its anchor, the least-hashed gram in it, so equal
 strings have equal anchors. The strings of one anchor are one run of bytes, its segment, at most
-2 * MATCH - GRAM long. Spark groups the segments by anchor. A segment that an earlier document
-has just so is repeated as a whole. Where one anchor has several different segments, the
-segments are a collection of short documents, whose Burrows-Wheeler transform is built column
-by column: each round inserts one more symbol of every segment. In the finished suffix order,
-strings with a common prefix of MATCH bytes stand together, and all but those of the first
-document are repeated.
+2 * MATCH - GRAM long. Anchors that only one document has are left out. Of the others, segments of
+the same content are one, which repeats as a whole in all but its first document; and segments of
+different content that share an anchor and the bytes on one side of it form a collection of short
+texts. Its Burrows-Wheeler transform and common prefixes are built column by column, one symbol of
+every segment a round, in sequential files (``external_bwt``). In the finished order, strings with a
+common prefix of MATCH bytes stand together, and all but those of the first document are repeated.
 
 Building the transform over whole documents takes as many passes over all the data as the
 longest document has bytes; segments bound the rounds and let blocks of anchors be built apart.
+All counting is by aggregates that sum before the shuffle, and all joins are broadcasts of checked
+size or of plain exchanges, which AQE splits, so no anchor and no string has to fit in one task.
 """
 
 from __future__ import annotations
@@ -21,31 +23,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import checked, release, small, stored, table
+from . import external_bwt
+from .shared import checked, freed, shared_dir, small, stored, table
 from .words import _BASE, _UNDO, _VALUE, U, _power, groups, mixed
 
-#: Bytes of a repeated string and of an anchor.
+#: Bytes of a repeated string and of an anchor, and those beside the anchor that one side must share:
+#: a common string has at least MATCH - GRAM bytes around the anchor, so half of them on one side.
 MATCH, GRAM = 50, 16
-#: Segments of a block (the anchor that fills it is always whole), and of an anchor that is
-#: dealt out string by string instead.
-BLOCK_SEGMENTS = 4000
+NEAR = (MATCH - GRAM) // 2
+#: Contents of a block (the anchor that fills it is always whole), and of an anchor that is
+#: taken string by string instead.
+BLOCK_SEGMENTS = 8000
 HOT_SEGMENTS = 50_000
 #: String starts hashed at once in a long text.
 SLICE = 4 << 20
 #: Bits of a place that hold the number of a segment's strings; at most MATCH - GRAM + 1.
 COUNT_BITS = 6
-END = 0xFF  # never a byte of UTF-8
+#: Bits of the map of anchors that several documents have.
+MAP_BITS = 27
 
 
 def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor, content hash, start, strings) of all segments of documents laid end to end;
-    ``ends`` are the documents' ends."""
+    """(anchor, content hash, start, strings, sides) of all segments of documents laid end to end;
+    ``ends`` are the documents' ends. Two segments with a common string share the anchor and
+    NEAR bytes on one side of it; ``sides`` holds a 32-bit hash of either side."""
     n = len(data) - MATCH + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     sums = np.concatenate([np.zeros(1, U), np.cumsum(_VALUE[data] * _power(_BASE, len(data)), dtype=U)])
     undo = _power(_UNDO, len(data) + 1)
     gram = mixed((sums[GRAM:] - sums[:-GRAM]) * undo[: len(data) - GRAM + 1])
@@ -63,14 +69,25 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     inside = start + MATCH <= ends[np.minimum(document, len(ends) - 1)]
     start, anchor = start[inside], anchor[inside]
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
     first = np.flatnonzero(new)
     count = np.diff(np.concatenate([first, [len(start)]]))
     begin, at = start[first], anchor[first]
     stop = begin + count + MATCH - 1
     whole = mixed((sums[stop] - sums[begin]) * undo[begin] + (stop - begin).astype(U))
-    return gram[at].view(np.int64), whole.view(np.int64), begin, count
+    own = document[inside][first]
+    opens = np.concatenate([[0], ends[:-1]])[own]
+
+    def side(a: np.ndarray, b: np.ndarray, tag: int) -> np.ndarray:
+        """Hash of the bytes from a to b; of the content, where the document has no such bytes."""
+        there = (a >= opens) & (b <= ends[own])
+        a, b = np.where(there, a, begin), np.where(there, b, stop)
+        h = mixed((sums[b] - sums[a]) * undo[a] + (b - a).astype(U) * U(2) + U(tag))
+        return h & U(0xFFFFFFFF)
+
+    sides = side(at - NEAR, at + GRAM, 0) << U(32) | side(at, at + GRAM + NEAR, 1)
+    return gram[at].view(np.int64), whole.view(np.int64), begin, count, sides.view(np.int64)
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, int]]:
@@ -91,82 +108,131 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """h, sig, doc, at: the segments of every document; at holds start and number of strings."""
+def _found(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, anchor, content, place, sides) of the segments of texts; place is start and count."""
+    for index, data, ends, base in _pieces(texts):
+        anchor, whole, begin, count, sides = segments(data, ends)
+        if len(begin):
+            own = np.searchsorted(ends, begin, "right")
+            begins = np.concatenate([[0], ends[:-1]])
+            yield np.array(index)[own], anchor, whole, ((begin - begins[own] + base) << COUNT_BITS) | count, sides
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    """doc, tie, text. tie tells the texts of one doc_id apart, and is 0 where there is one."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc"), "text")
+    hashed = F.xxhash64("text")
+    several = rows.groupBy("doc").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select("doc", F.lit(True).alias("several"))
+    several = stored(several, "sd-several")
+    if several.isEmpty():
+        return rows.select("doc", F.lit(0).cast("bigint").alias("tie"), "text")
+    return rows.join(checked(several), "doc", "left").select("doc", F.when(F.col("several"), hashed).otherwise(F.lit(0)).alias("tie"), "text")
+
+
+def _anchors(known: DataFrame) -> DataFrame:
+    """h: the anchors that several documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [_bytes(t) for t in batch.column(1).to_pylist()]
-            for index, data, ends, base in _pieces(texts):
-                anchor, whole, begin, count = segments(data, ends)
-                own = np.searchsorted(ends, begin, "right")
-                begins = np.concatenate([[0], ends[:-1]])
-                place = begin - begins[np.minimum(own, len(ends) - 1)] + base if len(begin) else begin
-                doc = ids[np.array(index)[own]] if len(begin) else begin
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (anchor, whole, doc, (place << COUNT_BITS) | count)], names=["h", "sig", "doc", "at"])
-
-    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
-    return known.mapInArrow(run, "h bigint, sig bigint, doc bigint, at bigint")
-
-
-def suffix_order(texts: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes of the strings texts[begin : begin + length] in order, as (string, suffix
-    length), by column-wise insertion: round j puts the suffix of length j of every string where
-    the last-to-first mapping of its symbol in the transform so far says."""
-    m = len(begin)
-    last = lambda i, j: np.where(j < length[i], texts[np.minimum(begin[i] + length[i] - 1 - j, len(texts) - 1)], END).astype(np.uint8)
-    live = np.arange(m)
-    transform = last(live, np.zeros(m, np.int64))
-    member, size = live.astype(np.int32), np.zeros(m, np.int16)
-    row = live.copy()
-    for j in range(1, int(length.max(initial=0)) + 1):
-        keep = length[live] >= j
-        live, row = live[keep], row[keep]
-        by_symbol = np.argsort(transform, kind="stable")
-        rank = np.empty(len(transform), np.int64)
-        rank[by_symbol] = np.arange(len(transform))
-        row = rank[row] + m  # the empty suffixes come first
-        total = len(transform) + len(live)
-        old = np.ones(total, bool)
-        old[row] = False
-        grown = np.empty(total, np.uint8)
-        grown[old], grown[row] = transform, last(live, np.full(len(live), j))
-        members, sizes = np.empty(total, np.int32), np.empty(total, np.int16)
-        members[old], members[row] = member, live
-        sizes[old], sizes[row] = size, j
-        transform, member, size = grown, members, sizes
-    return member, size
-
-
-def repeated(texts: np.ndarray, begin: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each string, the bits of those of its substrings of MATCH bytes that also start in a
-    string with a smaller doc."""
-    mask = np.zeros(len(begin), np.int64)
-    member, size = suffix_order(texts, begin, length)
-    long = size >= MATCH
-    member, size = member[long].astype(np.int64), size[long].astype(np.int64)
-    if len(member) < 2:
-        return mask
-    offset = length[member] - size
-    heads = np.lib.stride_tricks.sliding_window_view(texts, MATCH)[begin[member] + offset]
-    new = np.concatenate([[True], (heads[1:] != heads[:-1]).any(axis=1)])  # common prefix short of MATCH
-    group = np.cumsum(new) - 1
-    least = np.minimum.reduceat(doc[member], np.flatnonzero(new))
-    later = doc[member] > least[group]
-    np.bitwise_or.at(mask, member[later], np.int64(1) << offset[later])
+            for own, anchor, _, _, _ in _found(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[own])], names=["h", "doc"])
+
+    seen = known.select("doc", "text").mapInArrow(run, "h bigint, doc bigint")
+    return stored(seen.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h"), "sd-anchors")
+
+
+def _bitmap(anchors: DataFrame) -> np.ndarray:
+    """A map of 2 ** MAP_BITS bits of the anchors' low bits. One that is set by chance lets a row
+    pass that comes to nothing later; none is missed."""
+    low = F.pmod(F.col("h"), F.lit(1 << MAP_BITS)) + 1
+    parts = anchors.select(F.bitmap_bucket_number(low).alias("part"), F.bitmap_bit_position(low).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    found = np.zeros(1 << MAP_BITS >> 3, np.uint8)
+    for row in parts:
+        bits = np.frombuffer(bytes(row["bits"]), np.uint8)
+        found[(row["part"] - 1) * len(bits) : row["part"] * len(bits)] = bits
+    return found
+
+
+def _rows(known: DataFrame, anchors: DataFrame) -> DataFrame:
+    """h, sig, sides, doc, tie, at: the segments of the anchors of several documents."""
+    spark = known.sparkSession
+    bitmap = spark.sparkContext.broadcast(_bitmap(anchors))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in small(batches):
+            ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for own, anchor, whole, at, sides in _found([_bytes(t) for t in batch.column(2).to_pylist()]):
+                low = anchor & ((1 << MAP_BITS) - 1)
+                on = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                own = own[on]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[on], whole[on], sides[on], ids[own], ties[own], at[on])], names=["h", "sig", "sides", "doc", "tie", "at"])
+
+    return stored(known.mapInArrow(run, "h bigint, sig bigint, sides bigint, doc bigint, tie bigint, at bigint"), "sd-rows")
+
+
+def _candidates(contents: DataFrame) -> DataFrame:
+    """h, sig, first of the contents that share their anchor and a side of it with another one."""
+    side = F.explode(F.array(F.shiftright("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 40)))
+    by_side = contents.select("h", side.alias("side")).groupBy("h", "side").agg(F.count("*").alias("n")).where("n > 1").select("h", "side")
+    met = stored(by_side, "sd-sides")
+    near = contents.select("h", "sig", "first", side.alias("side")).join(checked(met), ["h", "side"])
+    return stored(near.groupBy("h", "sig").agg(F.min("first").alias("first")), "sd-near")
+
+
+def _cut(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, sig, doc, hot, part: the bytes of the wanted contents, from their first document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        for batch in small(batches):
+            out: list[list] = [[], [], [], [], []]
+            for doc, text, listed in zip(*(batch.column(i) for i in range(3)), strict=True):
+                doc, data = doc.as_py(), _bytes(text.as_py())
+                h, sig, hot = (listed.values.field(i).to_pylist() for i in range(3))
+                left = dict(zip(zip(h, sig, strict=True), hot, strict=True))
+                names = np.array(h, np.int64)
+                for _, anchor, whole, at, _ in _found([data]):
+                    for k in np.flatnonzero(np.isin(anchor, names)).tolist():
+                        key = (int(anchor[k]), int(whole[k]))
+                        if key in left:
+                            start, count = int(at[k]) >> COUNT_BITS, int(at[k]) & ((1 << COUNT_BITS) - 1)
+                            for column, value in zip(out, (*key, doc, left.pop(key), data[start : start + count + MATCH - 1]), strict=True):
+                                column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "sig", "doc", "hot", "part"])
+
+    lists = stored(wanted.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("h", "sig", "hot")).alias("wanted")), "sd-wanted")
+    joined = known.select("doc", "text").join(checked(lists, 4), "doc").select("doc", "text", "wanted")
+    return stored(joined.mapInArrow(run, "h bigint, sig bigint, doc bigint, hot boolean, part binary").dropDuplicates(["h", "sig"]), "sd-parts")
+
+
+def repeated(texts: list[bytes], doc: np.ndarray, uri: str) -> np.ndarray:
+    """For each text, the bits of those of its substrings of MATCH bytes that also start in a text
+    with a smaller doc, from the collection's transform and common prefixes, built in files
+    below ``uri``."""
+    length = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    mask = np.zeros(len(texts), np.int64)
+    files = external_bwt.Files(uri)
+    external_bwt.build(files, data, np.cumsum(length) - length, length)
+    for member, size, group in external_bwt.groups(files, MATCH):
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least = np.repeat(np.minimum.reduceat(doc[member], begin), np.diff(np.append(begin, len(group))))
+        later = doc[member] > least
+        np.bitwise_or.at(mask, member[later], np.int64(1) << (length[member] - size)[later])
+    files.close()
     return mask
 
 
-def _compare(parts: DataFrame) -> DataFrame:
-    """doc, at, mask of segments (key, doc, at, part), rows of one key together."""
+def _compared(parts: DataFrame, uri: str) -> DataFrame:
+    """h, sig, mask of the contents of anchors; the rows of one anchor are together."""
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        _, docs, ats, parts = zip(*rows, strict=True)
-        length = np.array([len(p) for p in parts], np.int64)
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        mask = repeated(data, np.cumsum(length) - length, length, np.array(docs, np.int64))
+        h, sig, doc, part = zip(*rows, strict=True)
+        mask = repeated(list(part), np.array(doc, np.int64), uri)
         some = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[some]), pa.array(np.array(ats, np.int64)[some]), pa.array(mask[some])], names=["doc", "at", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)[some]) for x in (h, sig, mask)], names=["h", "sig", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -178,34 +244,17 @@ def _compare(parts: DataFrame) -> DataFrame:
                 rows.append(row)
         if rows:
             yield block(rows)
+        freed()
 
-    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc bigint, at bigint, mask bigint")
-
+    return parts.repartition("h").sortWithinPartitions("h", "sig").mapInArrow(run, "h bigint, sig bigint, mask bigint")
 
-def _cut(docs: DataFrame, fine: DataFrame) -> DataFrame:
-    """key, doc, at, part: the bytes of segments; of a hot anchor, each string on its own."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            out: list[list] = [[], [], [], []]
-            for doc, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
-                doc, data = doc.as_py(), _bytes(text.as_py())
-                for h, at, hot in zip(*(wanted.values.field(i).to_pylist() for i in range(3)), strict=True):
-                    start, count = at >> COUNT_BITS, at & ((1 << COUNT_BITS) - 1)
-                    if not hot:
-                        rows = [(h, doc, at, data[start : start + count + MATCH - 1])]
-                    else:
-                        strings = ((s, data[s : s + MATCH]) for s in range(start, start + count))
-                        rows = [(int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True), doc, s << COUNT_BITS | 1, x) for s, x in strings]
-                    for row in rows:
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "doc", "at", "part"])
-
-    wanted = stored(fine.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "hot")).alias("wanted")), "sd-wanted")
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").join(checked(wanted, 4), "doc")
-    return joined.select("doc", "text", "wanted").mapInArrow(run, "key bigint, doc bigint, at bigint, part binary")
+def _by_string(parts: DataFrame) -> DataFrame:
+    """The same for anchors of very many contents: each string on its own, by an aggregate."""
+    strings = parts.select("h", "sig", "doc", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("part") - MATCH + 1), lambda k: F.substring("part", k, F.lit(MATCH)))).alias("k", "s"))
+    first = strings.groupBy("h", "s").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "s", "least")
+    later = strings.join(checked(stored(first, "sd-strings")), ["h", "s"]).where("doc > least")
+    return later.groupBy("h", "sig").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
 
 
 def spans(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,62 +284,68 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every row.
 
     A null text is an empty one. doc_id identifies a document: rows without one lose nothing and
-    make no other row lose anything; repeated rows give repeated results, and of a document with
-    several texts each loses what any of them repeats from earlier documents at that place.
-    Texts shorter than MATCH bytes stay whole. Other columns are not read.
+    make no other row lose anything; repeated rows give repeated results; a document with several
+    texts has the strings of all of them, and each loses what it repeats itself from earlier
+    documents. Texts shorter than MATCH bytes stay whole. No documents give none. Other columns are
+    not read.
     """
     spark = docs.sparkSession
-    by_anchor, by_content = W.partitionBy("h"), W.partitionBy("h", "sig").orderBy("doc")
-    rows = _rows(docs).repartition("h")
-    rows = rows.withColumn("first", F.min("doc").over(by_content)).withColumn("differ", F.min("sig").over(by_anchor) != F.max("sig").over(by_anchor))
-    rows = rows.withColumn("copy", F.col("first") < F.col("doc"))
-    flagged = stored(rows.where("copy or differ").select("h", "doc", "at", "copy"), "sd-flagged")
-    release(spark)
-
-    fine = flagged.where("not copy")
-    hot = stored(fine.groupBy("h").count().where(F.col("count") > HOT_SEGMENTS).select("h", F.lit(True).alias("hot")), "sd-hot")
-    fine = fine.join(checked(hot), "h", "left").select("h", "doc", "at", F.coalesce("hot", F.lit(False)).alias("hot"))
-    partial = stored(_compare(_cut(docs, fine)), "sd-partial")
-    release(spark)
-
-    whole = flagged.where("copy").select("doc", "at", F.expr(f"shiftleft(1L, cast(at & {(1 << COUNT_BITS) - 1} as int)) - 1").alias("mask"))
-    places = whole.unionByName(partial).groupBy("doc").agg(F.collect_list(F.struct("at", "mask")).alias("places"))
-    places = stored(_merged(places), "sd-spans")
-    release(spark)
+    known = _known(docs)
+    rows = _rows(known, _anchors(known))
+    # A content of several documents is repeated as a whole in all but the first.
+    contents = rows.groupBy("h", "sig").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("sides").alias("sides"))
+    contents = stored(contents, "sd-contents")
+    near = _candidates(contents)
+    hot = stored(near.groupBy("h").count().where(F.col("count") > HOT_SEGMENTS).select("h", F.lit(True).alias("hot")), "sd-hot")
+    wanted = near.join(checked(hot), "h", "left").select("h", "sig", "first", F.coalesce("hot", F.lit(False)).alias("hot"))
+    parts = _cut(known, wanted)
+    uri = f"{shared_dir(spark)}/tessera/sd-files"
+    masks = _compared(parts.where("not hot").select("h", "sig", "doc", "part"), uri).unionByName(_by_string(parts.where("hot")))
+    masks = stored(masks, "sd-masks")
+
+    # What becomes of each content: its mask in its first document, the whole of it in later ones.
+    whole = contents.where("first < last").select("h", "sig", "first")
+    facts = contents.select("h", "sig", "first").join(checked(masks), ["h", "sig"]).select("h", "sig", "first", "mask")
+    facts = stored(facts.unionByName(whole.join(checked(masks.select("h", "sig")), ["h", "sig"], "left_anti").withColumn("mask", F.lit(0).cast("bigint"))), "sd-facts")
+    every = F.expr(f"shiftleft(1L, cast(at & {(1 << COUNT_BITS) - 1} as int)) - 1")
+    met = rows.select("h", "sig", "doc", "tie", "at").join(checked(facts), ["h", "sig"])
+    places = met.select("doc", "tie", "at", F.when(F.col("doc") > F.col("first"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
+    places = stored(_merged(places.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "mask")).alias("places"))), "sd-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
             for text, runs in zip(batch.column(1), batch.column(2), strict=True):
                 data, flat = _bytes(text.as_py()), runs.as_py() or []
-                gone = [(a, min(b, len(data))) for a, b in zip(flat[::2], flat[1::2], strict=True) if a < len(data)]
+                gone = list(zip(flat[::2], flat[1::2], strict=True))
                 kept, at = hashlib.sha256(), 0
                 for a, b in gone:
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                values = (len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), [x for r in gone for x in r])
+                values = (len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), flat)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(checked(places.withColumnRenamed("doc", "doc_id"), 4), "doc_id", "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
+    none = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("doc"), "text", F.lit(None).cast("array<bigint>").alias("runs"))
+    joined = known.join(checked(places, 4), ["doc", "tie"], "left").select("doc", "text", "runs").unionByName(none)
+    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
 
 
 def _merged(places: DataFrame) -> DataFrame:
-    """doc, runs: starts and ends of the removed spans in turn."""
+    """doc, tie, runs: starts and ends of the removed spans in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = []
-            for found in batch.column(1):
+            for found in batch.column(2):
                 at, mask = (found.values.field(i).to_pylist() for i in range(2))
                 runs.append([x for s in spans(list(zip(at, mask, strict=True))) for x in s])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int64()))], names=["doc", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int64()))], names=["doc", "tie", "runs"])
 
-    return places.mapInArrow(run, "doc bigint, runs array<bigint>")
+    return places.mapInArrow(run, "doc bigint, tie bigint, runs array<bigint>")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
