@@ -2,8 +2,10 @@
 
 Documents of a source are laid end to end inside hash buckets and cut into blocks of a fixed
 number of words. Output shards of a fixed number of slots draw how many slots each source gets
-from a multinomial; surplus draws are handed to the sources that fell short, so that the totals
-are the targets. A source's slots are numbered through, and slot number j reads block
+from the multinomial of the targets, conditioned on the sources' totals: a keyed permutation of all
+slots gives each slot its draw, and a source owns as many draws as its target has slots. So shard
+counts are random, totals are exact, and a slot's source and its number within the source follow
+from the slot alone, without a count over others. Slot number j of a source reads block
 perm(j mod blocks), where perm is a keyed permutation of the source's block numbers: a source is
 read through once before any block repeats.
 """
@@ -24,6 +26,8 @@ BUCKET_DOCS = 512
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 20817
+#: Rounds of a permutation.
+ROUNDS = 24
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, repeats: int = MAX_REPEATS) -> list[tuple[str | None, int, float]]:
@@ -46,27 +50,16 @@ def source_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, repeats
     return [(s, n, target[s]) for s, n in order]
 
 
-def _uniform(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(SEED), *keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
-
-
-def permuted(index: Column, count: Column, key: Column, rounds: int = 4, walks: int = 17) -> Column:
-    """Keyed bijection of 0..count-1: a Feistel network on a p by q grid that just holds the
-    range, walked again while it lands on one of the few cells outside."""
-    p = F.ceil(F.sqrt(count.cast("double"))).cast("long")
-    q = F.ceil(count / p).cast("long")
-    start = F.struct(F.floor(index / q).cast("long").alias("hi"), F.pmod(index, q).alias("lo"), p.alias("p"), q.alias("q"), F.lit(False).alias("done"))
-
-    def turned(x: Column, i: Column) -> Column:
-        hi = F.pmod(x["hi"] + F.pmod(F.xxhash64(F.lit(SEED), key, 2 * (i % rounds), x["lo"]), x["p"]), x["p"])
-        lo = F.pmod(x["lo"] + F.pmod(F.xxhash64(F.lit(SEED), key, 2 * (i % rounds) + 1, hi), x["q"]), x["q"])
-        return F.struct(hi.alias("hi"), lo.alias("lo"), x["p"].alias("p"), x["q"].alias("q"), F.lit(False).alias("done"))
+def permuted(index: Column, count: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """Keyed bijection of 0..count-1 for every count. Each round pairs x with k - x (mod count), k
+    being the round's own, and a hash of the pair's larger member says whether the two swap; so
+    each round is a bijection by itself, and none has to be walked again."""
 
     def step(x: Column, i: Column) -> Column:
-        inside = x["done"] | ((i > 0) & (i % rounds == 0) & (x["hi"] * x["q"] + x["lo"] < count))
-        return F.when(inside, x.withField("done", F.lit(True))).otherwise(turned(x, i))
+        partner = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), key, i), count) + count - x, count)
+        return F.when(F.pmod(F.xxhash64(F.lit(SEED), key, i, F.greatest(x, partner)), F.lit(2)) == 1, partner).otherwise(x)
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(rounds * walks + 1)]), start, step, lambda x: x["hi"] * x["q"] + x["lo"])
+    return F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), index.cast("long"), step)
 
 
 def _cut(text: Column, start: Column, size: Column, block_words: int) -> Column:
@@ -89,13 +82,13 @@ def _cut(text: Column, start: Column, size: Column, block_words: int) -> Column:
 def _mixed(docs: DataFrame, rest: tuple[str, ...], block_words: int, shard_slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pieces of all documents, the facts of sources, and the pieces in their slots."""
     spark = docs.sparkSession
-    # One row per source: a plan is made for these on the driver.
+    # The plan is made on the driver, of one row per source; texts and blocks never go there.
     docs_of = {r["source"]: int(r["docs"]) for r in docs.groupBy("source").agg(F.count("*").alias("docs")).collect()}
     order = sorted(docs_of, key=lambda s: (s is None, s or ""))
     ids = spark.createDataFrame([(i, s, -(-docs_of[s] // BUCKET_DOCS)) for i, s in enumerate(order)], "sid int, src string, buckets long")
     more = [F.struct(*rest).alias("rest")] if rest else []
     sized = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), *more)
-    keyed = sized.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("src")))  # as many rows as there are sources
+    keyed = sized.join(checked(stored(ids, "mix-ids")), F.col("source").eqNullSafe(F.col("src")))
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie"), F.col("buckets"))).drop("src", "buckets")
     run = W.partitionBy("sid", "bucket").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = keyed.withColumn("start", F.sum("size").over(run) - F.col("size"))
@@ -108,14 +101,13 @@ def _mixed(docs: DataFrame, rest: tuple[str, ...], block_words: int, shard_slots
     facts = {r["sid"]: (int(r["n"]), int(r["b"])) for r in packed.groupBy("sid").agg(F.sum("words").alias("n"), F.sum("blocks").alias("b")).collect()}
     plan = source_targets([(s, facts[i][0]) for i, s in enumerate(order)])
     held = {i: b for i, (_, b) in facts.items()}
-    sources = spark.createDataFrame([(i, n, t) for i, (_, n, t) in enumerate(plan)], "sid int, source_size long, target double")
+    sources = stored(spark.createDataFrame([(i, n, t) for i, (_, n, t) in enumerate(plan)], "sid int, source_size long, target double"), "mix-sources")
     first = _running(packed.select("sid", F.col("bucket").alias("shard"), F.col("blocks").alias("n")))
     firsts = stored(first.select("sid", F.col("shard").alias("bucket"), F.col("before").alias("first_block")), "mix-firsts")
 
     # Slots a source has to get: its target over the mean words of its blocks.
     need = [(i, held.get(i, 0), min(MAX_REPEATS * held.get(i, 0), int(round(t * held.get(i, 0) / n))) if n else 0) for i, (_, n, t) in enumerate(plan)]
-    slots = sum(k for _, _, k in need)
-    drawn = stored(_slots(spark, need, slots, shard_slots), "mix-read") if slots else spark.createDataFrame([], "shard long, slot long, sid int, block long")
+    drawn = stored(_slots(spark, need, shard_slots), "mix-read") if any(k for _, _, k in need) else spark.createDataFrame([], "shard long, slot long, sid int, block long")
     blocks = pieces.where("words > 0").join(checked(firsts), ["sid", "bucket"]).withColumn("block", F.col("first_block") + F.col("part"))
     dealt = blocks.join(checked(drawn), ["sid", "block"])
     return pieces, sources, dealt.select("shard", "slot", "source", "block", "at", "doc_id", "words", "text", *(["rest"] if rest else []), "sid", "bucket", "start")
@@ -144,55 +136,31 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     dealt = stored(dealt, "mix-shards")
     # A document of words is the only one to start where it does in its bucket.
     taken = dealt.groupBy("sid", "bucket", "start").agg(F.sum("words").alias("got"))
-    whole = pieces.where("nth = 0").join(F.broadcast(sources), "sid")  # as many rows as there are sources
+    whole = pieces.where("nth = 0").join(checked(sources), "sid")
     full = whole.where("size > 0").join(taken, ["sid", "bucket", "start"], "left").unionByName(whole.where("size = 0"), allowMissingColumns=True)
     return full.select("doc_id", "size", "source", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "tie")
 
 
-def _slots(spark: SparkSession, need: list[tuple[int, int, int]], slots: int, shard_slots: int) -> DataFrame:
-    """The block that each slot of each shard reads: shard, slot, sid, block."""
-    bounds, at = [], 0
-    for i, _, k in need:
-        bounds.append((i, at / slots, (at + k) / slots))
-        at += k
-    shards = -(-slots // shard_slots)
-    all_slots = spark.range(0, slots, 1, max(1, min(shards, slots // 50_000 + 1))).withColumnRenamed("id", "slot")
-    all_slots = all_slots.withColumn("shard", F.floor(F.col("slot") / shard_slots))
-    u = _uniform(F.col("slot"))
-    drawn = F.lit(bounds[-1][0])
-    for i, _, hi in reversed(bounds[:-1]):
-        drawn = F.when(u < hi, F.lit(i)).otherwise(drawn)
-    drawn_slots = stored(all_slots.withColumn("sid", drawn), "mix-slots")
-    counts = drawn_slots.groupBy("shard", "sid").agg(F.count("*").alias("n"))
-    before = _running(counts)
-    rank = F.row_number().over(W.partitionBy("shard", "sid").orderBy("slot")) - 1
-    numbered = drawn_slots.withColumn("rank", rank).join(before, ["shard", "sid"]).withColumn("j", F.col("before") + F.col("rank"))
-    got = {r["sid"]: int(r["n"]) for r in counts.groupBy("sid").agg(F.sum("n").alias("n")).collect()}
-
-    plan, spare, short = [], 0, []
+def _slots(spark: SparkSession, need: list[tuple[int, int, int]], shard_slots: int) -> DataFrame:
+    """The block that each slot of each shard reads: shard, slot, sid, block. ``need`` has sid,
+    blocks and slots of each source. Sources meet slots on cells of equally many draws, so that
+    a slot looks at the few sources of its cell, however many there are."""
+    slots = sum(k for _, _, k in need)
+    width = max(1, slots // (4 * len(need)))
+    rows, at = [], 0
     for i, blocks, k in need:
-        g = got.get(i, 0)
-        plan.append((i, blocks, k, spare))
-        spare += max(0, g - k)
-        if g < k:
-            short.append((i, k - g, g))
-    # Surplus draws, numbered through all sources, fill what other sources lack.
-    info = F.broadcast(spark.createDataFrame(plan, "sid int, blocks long, k long, spare long"))
-    numbered = numbered.select("shard", "slot", "sid", "j").join(info, "sid")
-    keep = numbered.where("j < k").select("shard", "slot", "sid", "j", "blocks")
-    extra = numbered.where("j >= k").select("shard", "slot", (F.col("spare") + F.col("j") - F.col("k")).alias("e"))
-    new_sid, new_j, new_blocks, at = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long"), 0
-    blocks_of = {i: b for i, b, _ in need}
-    for i, lack, g in short:
-        here = (F.col("e") >= at) & (F.col("e") < at + lack)
-        new_sid = F.when(here, F.lit(i)).otherwise(new_sid)
-        new_j = F.when(here, F.col("e") - at + g).otherwise(new_j)
-        new_blocks = F.when(here, F.lit(blocks_of[i])).otherwise(new_blocks)
-        at += lack
-    moved = extra.select("shard", "slot", new_sid.alias("sid"), new_j.alias("j"), new_blocks.cast("long").alias("blocks"))
-    every = keep.unionByName(moved.where("sid is not null"))
-    block = permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.col("sid"))
-    return every.select("shard", "slot", "sid", block.alias("block"))
+        if k:
+            rows.append((i, blocks, at, at + k))
+        at += k
+    bounds = spark.createDataFrame(rows, "sid int, blocks long, lo long, hi long")
+    bounds = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    bounds = stored(bounds, "mix-bounds")  # at most five rows a source and one more
+    tasks = max(1, min(-(-slots // shard_slots), slots // 50_000 + 1))
+    drawn = spark.range(0, slots, 1, tasks).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.col("id").alias("slot"))
+    drawn = drawn.withColumn("draw", permuted(F.col("slot"), F.lit(slots).cast("long"), F.lit(-1)))
+    drawn = drawn.withColumn("cell", F.floor(F.col("draw") / width)).join(checked(bounds), "cell").where("draw >= lo and draw < hi")
+    block = permuted(F.pmod(F.col("draw") - F.col("lo"), F.col("blocks")), F.col("blocks"), F.col("sid"))
+    return drawn.select("shard", "slot", "sid", block.alias("block"))
 
 
 def _running(counts: DataFrame, span: int = 4096) -> DataFrame:
