@@ -1,12 +1,17 @@
 """URL filter: host and path rules, and a logistic regression on hashed character n-grams.
 
-Everything that touches the pages is a DataFrame expression. The regression is fitted on the
-driver over a small labelled table, whose size is bounded by MOST_LABELLED.
+Everything that touches the pages is a DataFrame expression. The regression is fitted on the driver
+over a small labelled url table, an input with columns url and label (1 for unwanted), of which at
+most MOST_LABELLED rows of each label are used. The table that comes with the package,
+``labelled_urls.tsv``, was written by hand for it: well-known public sites and made-up ordinary ones
+as wanted, made-up ones of the usual unwanted kinds (gambling, pills, loans, adult, cracked software,
+replicas, prizes, ad redirects, phishing) as unwanted.
 """
 
 from __future__ import annotations
 
 import math
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,34 +21,21 @@ from .shared import table
 #: (host, path, verdict); a rule fits its host and all subdomains. Fixed values of the query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Words that mark unwanted and wanted hosts. Fixed values that the labelled table is built from.
-UNWANTED = ("casino", "bets", "pills", "poker", "slots", "viagra", "jackpot", "lottery", "gambling", "adult", "cams", "payday", "replica", "warez", "torrent", "crack", "win", "cheap", "free", "loans", "bonus", "spins", "dating", "escort", "pharma", "ads", "tracker", "spam", "clickfarm")
-WANTED = ("news", "library", "school", "garden", "history", "science", "health", "weather", "museum", "journal", "cooking", "travel", "nature", "council", "letters", "theatre", "physics", "rivers")
-#: The commonest letter pairs of English, for made-up ordinary host names.
-PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le")
-
 #: A url that no rule decides is blocked from this probability on.
-BLOCK_FROM = 0.6
-#: N-gram lengths, hash buckets, most rows of the labelled table, and the training's settings.
+BLOCK_FROM = 0.7
+#: N-gram lengths, hash buckets, most rows of each label in training, and the training's settings.
 GRAM_SIZES = (3, 4)
 BUCKETS = 1 << 12
-MOST_LABELLED = 2048
+MOST_LABELLED = 1024
 STEPS = 150
 RATE = 20.0
 DECAY = 1e-4
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The default labelled table, 1 for unwanted: each word as a host in a few usual forms."""
-    forms = ("http://{0}.example.com/en/{1}", "https://www.{0}.example.org/de/{1}.html", "https://m.{0}.example.net/fr/{1}?page=2", "https://blog.{0}.example.com/es/{1}/")
-    made = tuple("".join(PAIRS[(k * step) % len(PAIRS)] for step in (1, 7, 11)[: 2 + k % 2]) for k in range(1, 4 * len(PAIRS)))
-    rows = []
-    for label, words in ((1, UNWANTED), (0, WANTED + made)):
-        for k, word in enumerate(words):
-            both = f"{word}-{words[(k + 7) % len(words)]}" if label else word
-            for j, form in enumerate(forms):
-                rows.append((form.format(both if j % 2 else word, 100 + 37 * k + j), label))
-    return rows
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The package's labelled table: url, label."""
+    lines = resources.files(__package__).joinpath("labelled_urls.tsv").read_text(encoding="utf-8").splitlines()[1:]
+    return spark.createDataFrame([(u, int(y)) for u, y in (line.split("\t") for line in lines)], "url string, label int")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -83,11 +75,17 @@ def fit(rows: list[tuple[list[int], int]]) -> list[float]:
     return weights
 
 
-def train(spark: SparkSession, labelled: list[tuple[str, int]] | None = None) -> list[float]:
-    rows = (labelled_urls() if labelled is None else labelled)[:MOST_LABELLED]
+def train(labelled: DataFrame) -> list[float]:
+    """Weights from a table of url and label. Of each label the MOST_LABELLED urls with the least
+    hash are used, wherever they stand in the table; rows with another label, or without a url,
+    and repeated rows are left out."""
     host, path = host_and_path(F.col("url"))
-    seen = spark.createDataFrame(rows, "url string, label int").select(grams(host, path).alias("g"), "label")
-    return fit([(list(r["g"]), r["label"]) for r in seen.collect()])
+    known = labelled.where("url is not null and label in (0, 1)").select("url", F.col("label").cast("int").alias("label")).distinct()
+    rows = []
+    for label in (0, 1):
+        chosen = known.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED)
+        rows += [(list(r["g"]), label) for r in chosen.select(grams(host, path).alias("g")).collect()]
+    return fit(rows)
 
 
 def judge(pages: DataFrame, rules=RULES, weights: list[float] | None = None) -> DataFrame:
@@ -97,7 +95,7 @@ def judge(pages: DataFrame, rules=RULES, weights: list[float] | None = None) ->
     BLOCK_FROM on. A null url, or one without ``://``, has an empty host and path and is judged by
     the regression; repeated rows are judged alike; columns other than page_id and url are not read.
     """
-    weights = train(pages.sparkSession) if weights is None else weights
+    weights = train(labelled_urls(pages.sparkSession)) if weights is None else weights
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("grams", grams(F.col("host"), F.col("path")))
     model = F.split(F.lit(",".join(f"{w:.8f}" for w in weights[:BUCKETS])), ",").cast("array<double>")  # folded to a constant
