@@ -1,6 +1,8 @@
 """Quality classifier by compression: two zstandard dictionaries, one trained on good and one on bad
-labelled text. A text's score is the difference of its two compressed sizes over its size,
-beside the size itself and the length, calibrated to a probability on labelled rows that trained no dictionary."""
+labelled text. The normalised difference of a text's two compressed sizes is its signal; a logistic
+curve, fitted on whole labelled texts that trained no dictionary, makes it a probability. Beside the
+difference the curve has terms for the size itself and for the length, since a dictionary helps a
+short or repetitive text differently; the difference alone is reported, too."""
 
 from __future__ import annotations
 
@@ -21,11 +23,15 @@ from .shared import checked, small, stored, table
 FOLDS = 5
 HELD_OUT = 0
 CALIBRATION = 4
-#: The bounded sample: texts of a label, bytes taken from each, bytes of a dictionary, level.
+#: The bounded sample: labelled texts of each label and purpose. Calibration reads them whole. For a
+#: dictionary at most PIECES pieces of PIECE_BYTES are taken from each, spread evenly over the whole
+#: of it (all of it where it is no longer than that). Then bytes of a dictionary, and the level.
 SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 16_384
+PIECES, PIECE_BYTES = 8, 2048
 DICT_BYTES = 112_640
 LEVEL = 3
+#: How good a text without content is, before any such text was seen labelled, and the weight of that.
+EMPTY_SCORE, EMPTY_WEIGHT = 0.1, 2.0
 #: Weights where no labelled text is left to calibrate with: the size difference alone.
 UNCALIBRATED = (60.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
 #: A text is predicted good from this score on.
@@ -36,19 +42,26 @@ def fold() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train one."""
+def _dictionary(pieces: list[bytes]) -> bytes:
+    """A trained dictionary, or the pieces themselves where there are too few to train one."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, texts).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(texts)[-DICT_BYTES:]
+        return b"".join(pieces)[-DICT_BYTES:]
+
+
+def spread(text: bytes) -> list[bytes]:
+    """Pieces of a text, spread evenly over the whole of it."""
+    if len(text) <= PIECES * PIECE_BYTES:
+        return [text[k : k + PIECE_BYTES] for k in range(0, len(text), PIECE_BYTES)]
+    return [text[a : a + PIECE_BYTES] for a in ((len(text) - PIECE_BYTES) * k // (PIECES - 1) for k in range(PIECES))]
 
 
 class Model:
     """Both dictionaries and the calibration; small enough to travel with the tasks."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: tuple[float, ...] = UNCALIBRATED):
-        self.good, self.bad, self.weights = good, bad, weights
+    def __init__(self, good: bytes, bad: bytes, weights: tuple[float, ...] = UNCALIBRATED, empty: float = EMPTY_SCORE):
+        self.good, self.bad, self.weights, self.empty = good, bad, weights, empty
 
     def compressors(self) -> tuple:
         return tuple(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False) if d else None for d in (self.good, self.bad))
@@ -64,8 +77,10 @@ class Model:
         long = math.log(len(text) + 30) - 7
         return bad - good, good, good * good, 1.0, long, (bad - good) * long, good * long
 
-    def score(self, sizes: tuple[float, ...]) -> float:
-        z = sum(w * x for w, x in zip(self.weights, sizes, strict=True))
+    def score(self, text: bytes, pair: tuple) -> float:
+        if not text:
+            return self.empty
+        z = sum(w * x for w, x in zip(self.weights, self.sizes(text, pair), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -88,50 +103,80 @@ def _calibrated(sizes: list[tuple[float, ...]], labels: list[int]) -> tuple[floa
     return tuple(float(v) for v in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from at most SAMPLE_ROWS texts of each label and purpose, those with the least hash
-    of their doc_id, and at most SAMPLE_BYTES of each."""
-    wanted = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality", fold().alias("fold")).where(F.col("fold") != HELD_OUT)
-    wanted = wanted.withColumn("use", (F.col("fold") == CALIBRATION).cast("int")).dropDuplicates(["doc_id"])
+def _picked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality, use and text of the sample: SAMPLE_ROWS of each label and purpose, those
+    with the least hash of their doc_id. A doc_id with several labels counts as good if any says
+    so; of its texts, the one with the least hash stands for it."""
+    wanted = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("fold", fold()).where(F.col("fold") != HELD_OUT)
+    wanted = wanted.select("doc_id", "quality", (F.col("fold") == CALIBRATION).cast("int").alias("use"))
     chosen = []
     for quality in (0, 1):
         for use in (0, 1):
             chosen.append(wanted.where((F.col("quality") == quality) & (F.col("use") == use)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
     picked = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).unionByName(chosen[3])
     picked = stored(picked.coalesce(1), "zstd-sample")  # at most 4 * SAMPLE_ROWS rows
-    texts = docs.where("text is not null").select("doc_id", "text").join(checked(picked), "doc_id")
-    rows = texts.select("quality", "use", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("b"), "doc_id").orderBy("doc_id", "b").limit(8 * SAMPLE_ROWS).collect()
-    take = lambda quality, use: [bytes(r["b"]) for r in rows if r["quality"] == quality and r["use"] == use and r["b"]]
-    model = Model(_dictionary(take(1, 0)), _dictionary(take(0, 0)))
-    pair, sizes, seen = model.compressors(), [], []
-    for quality in (0, 1):
-        found = take(quality, 1)
-        sizes += [Model.sizes(t, pair) for t in found]
-        seen += [quality] * len(found)
-    model.weights = _calibrated(sizes, seen)
+    texts = docs.select("doc_id", "text").join(checked(picked), "doc_id")
+    one = texts.groupBy("doc_id", "quality", "use").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return stored(one, "zstd-texts")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from the bounded sample of labelled rows. Pieces are taken, and whole texts measured, on
+    the executors; the driver gets the pieces and the sizes."""
+    texts = _picked(docs, labels)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found = [spread((t.as_py() or "").encode()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "quality", "pieces"])
+
+    train = texts.where("use = 0").select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"), "text")
+    rows = sorted(train.mapInArrow(pieces, "doc_id bigint, quality int, pieces array<binary>").collect(), key=lambda r: r["doc_id"])
+    take = lambda quality: [bytes(p) for r in rows if r["quality"] == quality for p in r["pieces"]]
+    model = Model(_dictionary(take(1)), _dictionary(take(0)))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = model.compressors()
+        for batch in small(batches):
+            found = [list(Model.sizes(t, pair)) if t else None for t in ((t.as_py() or "").encode() for t in batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "quality", "sizes"])
+
+    check = texts.where("use = 1").select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"), "text")
+    seen = sorted(check.mapInArrow(sizes, "doc_id bigint, quality int, sizes array<double>").collect(), key=lambda r: r["doc_id"])
+    full, empty = [r for r in seen if r["sizes"]], [r["quality"] for r in seen if not r["sizes"]]
+    model.weights = _calibrated([tuple(r["sizes"]) for r in full], [r["quality"] for r in full])
+    model.empty = (sum(empty) + EMPTY_SCORE * EMPTY_WEIGHT) / (len(empty) + EMPTY_WEIGHT)
     return model
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, score and the columns ``keep`` of every row of ``docs``.
+def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """doc_id, the columns ``keep`` and the score, called ``name``, of every row of ``docs``.
 
-    Whole texts are compressed. A null or empty text gets the score of no difference; equal texts
-    get equal scores; no column but the text enters a score.
+    Whole texts are compressed. A null or empty text gets the share of good ones among labelled
+    texts without content, EMPTY_SCORE where none was seen; equal texts get equal scores; no column
+    but the text enters a score; a tie with a threshold is for the caller to decide.
     """
-    kept = docs.select("doc_id", *[c for c in keep if c != "text"], "text")
-    schema = kept.select("doc_id", *keep, F.lit(0.0).alias("score")).schema
+    kept = docs.select("doc_id", *[c for c in keep if c not in ("doc_id", "text")], "text")
+    names = list(dict.fromkeys(["doc_id", *keep]))
+    schema = kept.select(*names, F.lit(0.0).alias(name)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = model.compressors()
         for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
-            found = [round(model.score(Model.sizes(t.as_py() or b"", pair)), 6) for t in texts]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *keep)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=["doc_id", *keep, "score"])
+            found = [round(model.score(t.as_py() or b"", pair), 6) for t in texts]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=[*names, name])
 
     return kept.mapInArrow(scored, schema)
 
 
+def difference(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and the normalised size difference alone, uncalibrated; 0 for an empty text."""
+    alone = Model(model.good, model.bad, (1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), 0.5)
+    return score(docs, alone, name="p").select("doc_id", F.log(F.col("p") / (1 - F.col("p"))).alias("difference"))
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
