@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import small, table
 
-#: Session setting with the key in hex, and the key where it is unset, as in tests.
+#: Session settings: the key in hex, or the path of a text file that holds it, on any store that Spark
+#: reads. Where neither is set, a key is drawn for the session.
 KEY_SETTING = "spark.tessera.pseudonym.key"
-TEST_KEY = "00112233445566778899aabbccddeeff"
+KEY_FILE_SETTING = "spark.tessera.pseudonym.keyFile"
 ROUNDS = 8
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049  # to the end of 2099
 
@@ -33,9 +36,7 @@ def permuted(key: bytes, kind: str, value: int, size: int) -> int:
     """Keyed bijection of 0..size-1 for each kind."""
     if size < 2:
         return value
-    p = int(size**0.5)
-    while p * p < size:
-        p += 1
+    p = math.isqrt(size - 1) + 1
     q = -(-size // p)
 
     def part(r: int, x: int, m: int) -> int:
@@ -218,20 +219,34 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, int]:
 
 
 def session_key(spark: SparkSession) -> bytes:
-    return bytes.fromhex(spark.conf.get(KEY_SETTING, TEST_KEY))
-
-
-def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
-    """``docs`` with ``text`` replaced and a column ``n_private`` at the end.
+    """The key that the session names. Without one, a random key that is drawn once for a session
+    and is nowhere in the code: pseudonyms then stay linked within a session, not beyond it."""
+    given = spark.conf.get(KEY_SETTING, None)
+    path = spark.conf.get(KEY_FILE_SETTING, None)
+    if given is None and path:
+        given = spark.read.text(path).first()["value"]
+    if given is None:
+        given = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, given)
+    key = bytes.fromhex(given.strip())
+    if len(key) < 16:
+        raise ValueError(f"{KEY_SETTING} needs 16 bytes at least")
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: bytes, count: str | None = "n_private") -> DataFrame:
+    """``docs`` with ``text`` replaced and, at the end, a column ``count`` with how many places
+    were (none where it is None).
 
     All other columns pass through unchanged, n_chars (where there is one) follows the text. A
-    null text stays null, with n_private 0; repeated rows give repeated results; a column of the
-    input that is called n_private is replaced.
+    null text stays null, with count 0; repeated rows give repeated results; a column of the
+    input that is called like ``count`` is replaced.
     """
-    if "n_private" in docs.columns:
-        docs = docs.drop("n_private")
+    if count in docs.columns:
+        docs = docs.drop(count)
     names = docs.columns
-    schema = docs.withColumn("n_private", F.lit(0).cast("bigint")).schema
+    more = [count] if count else []
+    schema = docs.withColumns({c: F.lit(0).cast("bigint") for c in more}).schema
     place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +257,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
             if chars is not None:
                 same = zip(batch.column(place).to_pylist(), found, batch.column(chars).to_pylist(), strict=True)
                 columns[chars] = pa.array([n if old == new[0] or new[0] is None else len(new[0]) for old, new, n in same], batch.column(chars).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in found], pa.int64())], names=[*names, "n_private"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([n for _, n in found], pa.int64()) for _ in more)], names=[*names, *more])
 
     return docs.mapInArrow(replaced, schema)
 
