@@ -1,10 +1,13 @@
 """Main text of web pages by site template removal.
 
-Every page is scanned once for the source ranges of its block elements. The ranges' hashes are
-counted per host in Spark; a range that recurs across many pages of its host is template and is
-deleted, except running text inside an article, which copies of one article share rightly.
-What is left is the article (or the body, where a page marks none) without the elements that by
-their tag, role or class are menus, notices, forms, comments and the like.
+Every page is scanned once for its elements. A block element's subtree has a hash, made from its own
+tag, its text and its children's hashes, so that nesting costs nothing. Spark counts the hashes per
+host, and a subtree that recurs across many pages of its host is template and is deleted: this
+is the first rule. Running text inside an article is template only where most of the host's
+*different* articles have it, since copies of an article, and passages that some share, are no template.
+What the counts cannot tell, on hosts of few pages or where a menu differs from page to page, two
+rules about what is left do: elements that by their tag, role or class are menus, notices, forms,
+comments and the like go, and where a page marks an article, what stands outside of it.
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fits, small, stored, table
+from .shared import checked, fits, small, stored, table
 
-#: A range is template when this many pages of its host have it, and this share of them.
+#: A subtree is template when this many pages of its host have it, and this share of them; running text
+#: inside an article when this many different articles of the host have it, and this share of pages.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.02
+LEAST_ARTICLES = 20
+LEAST_ARTICLE_SHARE = 0.6
 
 # Fixed values of HTML: element kinds by their names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -59,25 +65,31 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class Page:
-    """pieces: (place, text, unwanted, in article), where text None ends a block;
-    ranges: (from, to, running text of an article) of every block element."""
+    """pieces: (place, text, unwanted, in article), where text None ends a block; ranges: (from, to,
+    running text of an article, hash) of every block element; article: hash of what the page
+    marks as its article (of the whole page, where it marks none), whether it marks one in ``marked``."""
 
     def __init__(self, source: str):
-        self.source, self.pieces, self.ranges, self.article = source, [], [], False
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, from, unwanted, in article
+        self.source, self.pieces, self.ranges, self.marked = source, [], [], False
+        stack: list[tuple] = []  # tag, from, unwanted, in article, hash of the subtree so far
+        whole, articles = xxhash.xxh3_64(), xxhash.xxh3_64()
         at, n = 0, len(source)
 
         def close(to: int) -> None:
-            tag, start, _, inside = stack.pop()
+            tag, start, _, inside, seen = stack.pop()
+            (stack[-1][4] if stack else whole).update(seen.digest())
             if tag in BLOCK:
                 self.pieces.append((to, None, False, False))
                 if tag not in ("html", "body", "article", "main"):
-                    self.ranges.append((start, to, inside and tag in PROSE))
+                    self.ranges.append((start, to, inside and tag in PROSE, seen.intdigest() - (1 << 63)))
+                elif inside and not (stack and stack[-1][3]):
+                    articles.update(seen.digest())
 
         def put(text: str, place: int) -> None:
             if text:
                 bad, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
                 self.pieces.append((place, text, bad, inside))
+                (stack[-1][4] if stack else whole).update(text.encode("utf-8", "replace"))
 
         while at < n:
             m = TAG.search(source, at)
@@ -116,27 +128,34 @@ class Page:
             inside = bool(stack) and stack[-1][3]
             bad = bool(stack) and stack[-1][2] or _unwanted(tag, m[3], inside)
             if tag in ("article", "main") and not bad:
-                inside = self.article = True
-            stack.append((tag, start, bad, inside))
+                inside = self.marked = True
+            seen = xxhash.xxh3_64(m[0].encode("utf-8", "replace"))
+            stack.append((tag, start, bad, inside, seen))
         while stack:
             close(n)
+        self.article = (articles if self.marked else whole).intdigest() - (1 << 63)
 
-    def hashes(self) -> list[int]:
-        return [xxhash.xxh3_64_intdigest(self.source[a:b].encode("utf-8", "replace")) - (1 << 63) for a, b, _ in self.ranges]
-
-    def text(self, template: frozenset | set = frozenset()) -> str:
-        gone = []
-        if template:
-            gone = sorted((a, b) for (a, b, prose), h in zip(self.ranges, self.hashes(), strict=True) if not prose and h in template)
-        blocks, now, k, until = [], [], 0, -1
+    def rules(self, template: frozenset | set = frozenset()) -> Iterator[tuple[str | None, str]]:
+        """(text, rule) of every piece in order: rule says what removes it, first of all "template",
+        then "names" and "scope"; it is empty for what stays. Text None ends a block."""
+        gone = sorted((a, b) for a, b, _, h in self.ranges if h in template) if template else []
+        k, until = 0, -1
         for place, text, bad, inside in sorted(self.pieces, key=lambda p: p[0]):
             while k < len(gone) and gone[k][0] <= place:
                 until, k = max(until, gone[k][1]), k + 1
+            if text is None:
+                yield None, ""
+            else:
+                yield text, "template" if place < until else "names" if bad else "scope" if self.marked and not inside else ""
+
+    def text(self, template: frozenset | set = frozenset()) -> str:
+        blocks, now = [], []
+        for text, rule in self.rules(template):
             if text is None:
                 if now:
                     blocks.append("".join(now))
                     now = []
-            elif not bad and (inside or not self.article) and place >= until:
+            elif not rule:
                 now.append(text)
         blocks.append("".join(now))
         found = (SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
@@ -144,35 +163,42 @@ class Page:
 
 
 def _host() -> F.Column:
-    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1)
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, hash of the ranges that recur across pages; counts cover all pages."""
+    """host, hash of the subtrees that are template; counts cover all pages. A hash counts once a
+    page, running text of an article (``article``) once for each different article."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            hosts, hashes = [], []
+            hosts, hashes, articles = [], [], []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(Page(source or "").hashes())
-                own.add(0)  # counts the host's pages
+                page = Page(source or "")
+                own = {h: page.article if prose else None for _, _, prose, h in page.ranges}
+                own[0] = None  # counts the host's pages
                 hosts += [host] * len(own)
                 hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+                articles += own.values()
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(articles, pa.int64())], names=["host", "hash", "article"])
 
-    counts = pages.select(_host().alias("host"), "html").mapInArrow(found, "host string, hash bigint")
-    counts = counts.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    counts = stored(counts, "html-counts")
-    whole = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return stored(counts.where("hash <> 0").join(whole, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "hash"), "html-templates")
+    seen = pages.select(_host().alias("host"), "html").mapInArrow(found, "host string, hash bigint, article bigint")
+    once = seen.groupBy("host", "hash", "article").agg(F.count("*").alias("n"))
+    counts = once.groupBy("host", "hash").agg(F.sum(F.when(F.col("article").isNull(), F.col("n"))).alias("n"), F.sum(F.when(F.col("article").isNotNull(), F.col("n"))).alias("prose"), F.count("article").alias("articles"))
+    counts = stored(counts.where((F.col("n") >= LEAST_PAGES) | (F.col("articles") >= LEAST_ARTICLES) | (F.col("hash") == 0)), "html-counts")
+    whole = stored(counts.where("hash = 0").select("host", F.col("n").alias("pages")), "html-hosts")
+    plain = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("pages"))
+    prose = (F.col("articles") >= LEAST_ARTICLES) & (F.col("prose") >= LEAST_ARTICLE_SHARE * F.col("pages"))
+    return stored(counts.where("hash <> 0").join(checked(whole), "host").where(plain | prose).select("host", "hash"), "html-templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``.
 
-    A null html is an empty page, with empty text; pages with a null url share one host of that
-    kind; repeated rows give repeated rows and each counts as a page of its host; other columns
-    are not read.
+    A null html is an empty page, with empty text; pages without a host in their url count as one
+    site; repeated rows give repeated rows and each counts as a page of its host; no pages give
+    none; other columns are not read.
     """
     spark = pages.sparkSession
     known = templates(pages)
