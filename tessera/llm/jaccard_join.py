@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checked, release, small, stored, table
+from .shared import checked, small, stored, table
 from .words import shingle_sets
 
 #: Words of a shingle; similarity as a fraction.
@@ -129,7 +129,6 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     same = F.size(F.array_intersect("ta", "tb"))
     links = both.withColumn("same", same).where(DEN * F.col("same") >= NUM * (F.size("ta") + F.size("tb") - F.col("same")))
     found = stored(links.select("a", "b").distinct(), "jj-links")
-    release(docs.sparkSession)
     return found
 
 
@@ -162,9 +161,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     lists = _sets(reps, "node bigint, n int, p array<bigint>", prefix).select("node", "n", F.explode("p").alias("token"))
     counts = stored(lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "jj-counts")
-    release(spark)
-    met = stored(lists.join(counts, "token"), "jj-met")
-    release(spark)
+    met = stored(lists.join(checked(counts), "token"), "jj-met")
 
     heavy = met.where(F.col("c") > LIGHT)
     hit = stored(heavy.groupBy("node").agg(F.count("*").alias("heavy"), F.max("n").alias("n")), "jj-heavy")
@@ -174,7 +171,6 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = pairs.join(hit.select(F.col("node").alias("a"), F.col("heavy").alias("ha")), "a", "left").join(hit.select(F.col("node").alias("b"), F.col("heavy").alias("hb")), "b", "left").na.fill(0, ["ha", "hb"])
     pairs = pairs.where(F.col("met") + F.least("ha", "hb") >= _needed(F.least("na", "nb")))
     pairs = stored(pairs.select("a", "b"), "jj-pairs")
-    release(spark)
     found = found.unionByName(_verified(docs, pairs))
     if heavy.isEmpty():
         return found
@@ -183,8 +179,10 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     deep = stored(hit.where(F.col("heavy") >= _needed(F.ceil(F.col("n") * NUM / DEN))).select("node"), "jj-deep")
     heavy = stored(heavy.join(checked(deep), "node", "left_semi").select("token", "node", "n"), "jj-deep-lists")
     # Hubs: the first of each list, and of those that a node meets, the ones it meets most.
-    firsts = heavy.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("far"))
-    by = heavy.join(firsts, "token").select("node", F.explode(F.array("hub", "far")).alias("hub")).where("node <> hub").groupBy("node", "hub").count()
+    # What is grouped by token is stored before it is joined: both sides are plain exchanges then, and
+    # AQE splits a token that very many sets have.
+    firsts = stored(heavy.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("far")), "jj-firsts")
+    by = heavy.join(checked(firsts), "token").select("node", F.explode(F.array("hub", "far")).alias("hub")).where("node <> hub").groupBy("node", "hub").count()
     best = by.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "hub")), False), 1, HUBS).alias("hubs"))
     stars = best.select(F.explode("hubs.hub").alias("hub"), "node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     found = found.unionByName(_verified(docs, stored(stars, "jj-stars")))
@@ -193,7 +191,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     placed = heavy.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = stored(placed.groupBy("token", "component").agg(F.count("*").alias("c")), "jj-parts")
     main = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("main")).where("parts > 1").select("token", F.col("main.component").alias("main"))
-    mixed_lists = stored(placed.join(main, "token").groupBy("node", "component").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("asks")), "jj-mixed")
+    main = stored(main, "jj-main")
+    mixed_lists = stored(placed.join(checked(main), "token").groupBy("node", "component").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("asks")), "jj-mixed")
     asking = mixed_lists.where("asks = 1").count()
     if not asking:
         return found
