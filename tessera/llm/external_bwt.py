@@ -2,15 +2,15 @@
 
 Round j puts the suffix of length j of every string among those that are there. The state between
 rounds is three files, read and written from front to back in slices: the transform's symbols, the
-length of the common prefix of every suffix with the one before it, and which suffix it is. In
-memory are a slice, a few numbers per symbol, and a few per string. The files live in a folder of
-the store that driver and executors share.
+length of the common prefix of every suffix with the one before it, and, for suffixes that are long
+enough to be asked for, which suffix it is. In memory are a slice, a few numbers per symbol, and a
+few per string. The files live in a folder of the store that driver and executors share.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyarrow import fs
@@ -21,6 +21,8 @@ SLICE = 1 << 20
 #: Bits of an entry's code that hold the suffix's length; longer strings are not taken.
 SIZE_BITS = 7
 MOST = (1 << SIZE_BITS) - 1
+#: Marks, in the file of prefixes, the entries that have a code.
+CODED = np.uint8(1 << SIZE_BITS)
 
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
@@ -42,6 +44,7 @@ class Files:
         self.path = f"{path}/{uuid.uuid4().hex}"
         self.system.create_dir(self.path, recursive=True)
         self.round = 0
+        self.coded = False  # whether any entry has a code
 
     def _name(self, kind: str, k: int) -> str:
         return f"{self.path}/{kind}-{k % 2}"
@@ -57,7 +60,7 @@ class Files:
         self.round += 1
 
     def read(self, *kinds: str) -> Iterator[tuple[np.ndarray, ...]]:
-        """Slices of this round's files of the given kinds."""
+        """Slices of this round's files of the given kinds, symbols and prefixes."""
         types = dict(self.KINDS)
         streams = [self.system.open_input_stream(self._name(kind, self.round)) for kind in kinds]
         while True:
@@ -68,6 +71,11 @@ class Files:
         for stream in streams:
             stream.close()
 
+    def codes(self) -> Callable[[int], np.ndarray]:
+        """A function that reads the next so many of this round's codes."""
+        stream = self.system.open_input_stream(self._name("code", self.round))
+        return lambda n: np.frombuffer(stream.read(4 * n), np.int32) if n else np.zeros(0, np.int32)
+
     def close(self) -> None:
         self.system.delete_dir(self.path)
 
@@ -95,24 +103,35 @@ def _places(files: Files, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarr
     since = np.full(256, 255, np.int64)  # least prefix after a symbol's last occurrence
     waiting: dict[int, tuple[int, int]] = {}  # symbol: rank of its next occurrence, least prefix so far
     base = 0
-    for b, prefix in files.read("symbol", "prefix"):
+    slices = files.read("symbol", "prefix")
+    now = next(slices, None)
+    while now is not None:
+        (b, prefix), now = now, next(slices, None)
+        prefix = prefix & ~CODED if files.coded else prefix
         n = len(b)
         lo, hi = np.searchsorted(row, [base, base + n])
         q = row[lo:hi] - base
         by = np.argsort(b, kind="stable")
-        place = np.empty(n, np.int64)
-        place[by] = np.arange(n)
         here = np.bincount(b, minlength=256)
         begin = np.cumsum(here) - here
-        front, back = np.minimum.accumulate(prefix), np.minimum.accumulate(prefix[::-1])[::-1]
-        for a, (r, least) in list(waiting.items()):
-            if here[a]:
-                value = min(least, int(front[by[begin[a]]]))
-                changes.append((np.array([a]), np.array([r]), np.array([value + 1])))
-                del waiting[a]
+        a = b[q].astype(np.int64)
+        k = np.empty(len(q), np.int64)  # places of the occurrences q among all, by symbol
+        alike = np.argsort(b[q], kind="stable")
+        ends = np.cumsum(np.bincount(a, minlength=256)).tolist()
+        for one, (x, y) in enumerate(zip([0, *ends], ends, strict=False)):
+            if x < y:
+                mine = alike[x:y]
+                k[mine] = begin[one] + np.searchsorted(by[begin[one] : begin[one] + here[one]], q[mine])
+        # Least prefixes from the slice's begin and to its end matter where there are other slices.
+        front = np.minimum.accumulate(prefix) if base else prefix
+        back = np.minimum.accumulate(prefix[::-1])[::-1] if now is not None else prefix
+        for one, (r, least) in list(waiting.items()):
+            if here[one]:
+                value = min(least, int(front[by[begin[one]]]))
+                changes.append((np.array([one]), np.array([r]), np.array([value + 1])))
+                del waiting[one]
             else:
-                waiting[a] = (r, min(least, int(front[-1])))
-        a, k = b[q].astype(np.int64), place[q]
+                waiting[one] = (r, min(least, int(front[-1])))
         symbol[lo:hi], rank[lo:hi] = a, count[a] + k - begin[a]
         # The occurrence before: in this slice, in an earlier one, or none.
         inner = k > begin[a]
@@ -125,12 +144,13 @@ def _places(files: Files, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarr
         inner = k + 1 < begin[a] + here[a]
         value = _least(prefix, q[inner] + 1, by[k[inner] + 1]).astype(np.int64) + 1
         changes.append((a[inner], rank[lo:hi][inner] + 1, value))
-        for j in np.flatnonzero(~inner):
+        for j in np.flatnonzero(~inner) if now is not None else ():
             waiting[int(a[j])] = (int(rank[lo + j]) + 1, int(back[q[j] + 1]) if q[j] + 1 < n else 255)
-        seen = here > 0
-        last = by[(begin + here - 1)[seen]]
-        since = np.minimum(since, int(front[-1]))
-        since[seen] = np.where(last + 1 < n, back[np.minimum(last + 1, n - 1)], 255)
+        if now is not None:
+            seen = here > 0
+            last = by[(begin + here - 1)[seen]]
+            since = np.minimum(since, int(back[0]))
+            since[seen] = np.where(last + 1 < n, back[np.minimum(last + 1, n - 1)], 255)
         count += here
         base += n
     start = m + np.cumsum(count) - count  # the empty suffixes come first
@@ -138,29 +158,39 @@ def _places(files: Files, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarr
     return start[symbol] + rank, start[at] + what, value
 
 
-def _merged(files: Files, place: np.ndarray, symbols: np.ndarray, codes: np.ndarray, changed: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Slices of the next round: new entries at ``place`` (ascending), prefixes as changed."""
+def _merged(files: Files, place: np.ndarray, symbols: np.ndarray, codes: np.ndarray | None, changed: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Slices of the next round: new entries at ``place`` (ascending), with codes or without, and
+    prefixes as changed."""
     before = place - np.arange(len(place))  # old entries before each new one
     base = written = done = 0
-    old = files.read("symbol", "prefix", "code")
+    coded = files.codes()
+    old = files.read("symbol", "prefix")
     now = next(old, None)
     while now is not None:
         after = next(old, None)
         n = len(now[0])
-        upto = np.searchsorted(before, base + n) if after is not None else len(before)
-        at = before[done:upto] - base
-        symbol = np.insert(now[0], at, symbols[done:upto])
-        prefix = np.insert(now[1], at, np.zeros(len(at), np.uint8))
-        code = np.insert(now[2], at, codes[done:upto])
+        upto = int(np.searchsorted(before, base + n)) if after is not None else len(before)
+        spot = before[done:upto] - base + np.arange(upto - done)  # of the new entries in what goes out
+        kept = np.ones(n + upto - done, bool)
+        kept[spot] = False
+        symbol, prefix = np.empty(len(kept), np.uint8), np.empty(len(kept), np.uint8)
+        symbol[kept], prefix[kept] = now
+        symbol[spot], prefix[spot] = symbols[done:upto], 0 if codes is None else CODED
         lo, hi = np.searchsorted(changed, [written, written + len(symbol)])
-        prefix[changed[lo:hi] - written] = value[lo:hi]
+        spot = changed[lo:hi] - written
+        prefix[spot] = value[lo:hi] | (prefix[spot] & CODED)
+        had = np.flatnonzero(now[1] & CODED) if codes is not None or files.coded else np.zeros(0, np.int64)
+        code = coded(len(had))
+        if codes is not None:
+            code = np.insert(code, np.searchsorted(had, before[done:upto] - base), codes[done:upto])
         yield symbol, prefix, code
         base, written, done, now = base + n, written + len(symbol), upto, after
+    files.coded |= codes is not None
 
 
-def build(files: Files, texts: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
-    """Put all suffixes of the strings texts[begin : begin + length] into the files, in order;
-    suffixes that are equal stand in the order of their strings."""
+def build(files: Files, texts: np.ndarray, begin: np.ndarray, length: np.ndarray, match: int) -> None:
+    """Put all suffixes of the strings texts[begin : begin + length] into the files, in order, those of
+    ``match`` symbols or more with codes; suffixes that are equal stand in the order of their strings."""
     m = len(begin)
     if length.max(initial=0) > MOST:
         raise ValueError(f"a string is longer than {MOST} bytes")
@@ -169,8 +199,14 @@ def build(files: Files, texts: np.ndarray, begin: np.ndarray, length: np.ndarray
         """The symbol before the suffix of length j."""
         return np.where(j < length[i], texts[np.maximum(begin[i] + length[i] - 1 - j, 0)], END).astype(np.uint8)
 
+    def code(i: np.ndarray, j: int) -> np.ndarray | None:
+        return ((i << SIZE_BITS) | j).astype(np.int32) if j >= match else None
+
     live = np.arange(m)
-    files.write((symbol(live[a : a + SLICE], 0), np.zeros(len(live[a : a + SLICE]), np.uint8), live[a : a + SLICE].astype(np.int32) << SIZE_BITS) for a in range(0, m, SLICE))
+    none = np.zeros(0, np.int32)
+    empty = CODED if match <= 0 else 0
+    files.coded = match <= 0
+    files.write((symbol(part, 0), np.full(len(part), empty, np.uint8), none if match > 0 else code(part, 0)) for part in (live[a : a + SLICE] for a in range(0, m, SLICE)))
     row = live.copy()
     for j in range(1, int(length.max(initial=0)) + 1):
         keep = length[live] >= j
@@ -179,14 +215,17 @@ def build(files: Files, texts: np.ndarray, begin: np.ndarray, length: np.ndarray
         order = np.argsort(place)
         live, row = live[order], place[order]
         order = np.argsort(changed, kind="stable")
-        files.write(_merged(files, row, symbol(live, j), ((live << SIZE_BITS) | j).astype(np.int32), changed[order], value[order].astype(np.uint8)))
+        files.write(_merged(files, row, symbol(live, j), code(live, j), changed[order], value[order].astype(np.uint8)))
 
 
 def groups(files: Files, match: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(string, suffix length, group) of the suffixes that share ``match`` bytes with another one,
+    """(string, suffix length, group) of the suffixes that share ``match`` symbols with another one,
     by slices; a group is never divided between two slices."""
     held: tuple[np.ndarray, np.ndarray] | None = None
-    for prefix, code in files.read("prefix", "code"):
+    coded = files.codes()
+    for (prefix,) in files.read("prefix"):
+        prefix = prefix[(prefix & CODED) != 0] & ~CODED  # suffixes without a code share less
+        code = coded(len(prefix))
         if held is not None:
             prefix, code = np.concatenate([held[0], prefix]), np.concatenate([held[1], code])
         new = prefix < match

@@ -2,17 +2,19 @@
 
 Every string of MATCH bytes is assigned to its anchor, the least-hashed gram in it, so equal
 strings have equal anchors. The strings of one anchor are one run of bytes, its segment, at most
-2 * MATCH - GRAM long. Anchors that only one document has are left out. Of the others, segments of
-the same content are one, which repeats as a whole in all but its first document; and segments of
-different content that share an anchor and the bytes on one side of it form a collection of short
-texts. Its Burrows-Wheeler transform and common prefixes are built column by column, one symbol of
-every segment a round, in sequential files (``external_bwt``). In the finished order, strings with a
-common prefix of MATCH bytes stand together, and all but those of the first document are repeated.
+2 * MATCH - GRAM long. Anchors that only one document has are left out. Of the others, a segment that
+an earlier document has just so is repeated as a whole; and segments of different content that share
+an anchor and the bytes on one side of it form a collection of short texts. Its Burrows-Wheeler
+transform and common prefixes are built column by column, one symbol of every segment a round, in
+sequential files (``external_bwt``). In the finished order, strings with a common prefix of MATCH
+bytes stand together, and all but those of the first document are repeated.
 
 Building the transform over whole documents takes as many passes over all the data as the
 longest document has bytes; segments bound the rounds and let blocks of anchors be built apart.
-All counting is by aggregates that sum before the shuffle, and all joins are broadcasts of checked
-size or of plain exchanges, which AQE splits, so no anchor and no string has to fit in one task.
+Anchors of up to HOT_ROWS segments are compared in windows. Of more frequent ones, such as a line
+that a third of all documents have, the segments are counted by aggregates that sum before the
+shuffle, joined by broadcasts of checked size or as plain exchanges, which AQE splits, and
+compared string by string.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import external_bwt
@@ -33,10 +36,10 @@ from .words import _BASE, _UNDO, _VALUE, U, _power, groups, mixed
 #: a common string has at least MATCH - GRAM bytes around the anchor, so half of them on one side.
 MATCH, GRAM = 50, 16
 NEAR = (MATCH - GRAM) // 2
-#: Contents of a block (the anchor that fills it is always whole), and of an anchor that is
-#: taken string by string instead.
-BLOCK_SEGMENTS = 8000
-HOT_SEGMENTS = 50_000
+#: Segments of a block (the anchor that fills it is always whole), and of an anchor that one
+#: window may hold.
+BLOCK_SEGMENTS = 4000
+HOT_ROWS = 100_000
 #: String starts hashed at once in a long text.
 SLICE = 4 << 20
 #: Bits of a place that hold the number of a segment's strings; at most MATCH - GRAM + 1.
@@ -63,20 +66,22 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         span *= 2
     if span < width:
         least = np.minimum(least[:n], least[width - span : width - span + n])
-    anchor = (least[:n] & low).astype(np.int64)
-    start = np.arange(n)
-    document = np.searchsorted(ends, start, "right")
-    inside = start + MATCH <= ends[np.minimum(document, len(ends) - 1)]
-    start, anchor = start[inside], anchor[inside]
-    if not len(start):
+    anchor = least[:n] & low
+    # Strings that run over a document's end belong to no segment.
+    whole_strings = np.ones(n, bool)
+    for end in ends.tolist():
+        whole_strings[max(0, end - MATCH + 1) : end] = False
+    change = np.flatnonzero((anchor[1:] != anchor[:-1]) | (whole_strings[1:] != whole_strings[:-1])) + 1
+    begin = np.concatenate([[0], change])
+    count = np.diff(np.append(begin, n))
+    kept = whole_strings[begin]
+    begin, count = begin[kept], count[kept]
+    if not len(begin):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)])
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(start)]]))
-    begin, at = start[first], anchor[first]
+    at = anchor[begin].astype(np.int64)
     stop = begin + count + MATCH - 1
     whole = mixed((sums[stop] - sums[begin]) * undo[begin] + (stop - begin).astype(U))
-    own = document[inside][first]
+    own = np.searchsorted(ends, begin, "right")
     opens = np.concatenate([[0], ends[:-1]])[own]
 
     def side(a: np.ndarray, b: np.ndarray, tag: int) -> np.ndarray:
@@ -130,7 +135,7 @@ def _known(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(known: DataFrame) -> DataFrame:
-    """h: the anchors that several documents have."""
+    """h, n: the anchors that several documents have, and how many segments of theirs there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -139,7 +144,7 @@ def _anchors(known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[own])], names=["h", "doc"])
 
     seen = known.select("doc", "text").mapInArrow(run, "h bigint, doc bigint")
-    return stored(seen.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h"), "sd-anchors")
+    return stored(seen.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a <> b").select("h", "n"), "sd-anchors")
 
 
 def _bitmap(anchors: DataFrame) -> np.ndarray:
@@ -169,42 +174,51 @@ def _rows(known: DataFrame, anchors: DataFrame) -> DataFrame:
                 own = own[on]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[on], whole[on], sides[on], ids[own], ties[own], at[on])], names=["h", "sig", "sides", "doc", "tie", "at"])
 
-    return stored(known.mapInArrow(run, "h bigint, sig bigint, sides bigint, doc bigint, tie bigint, at bigint"), "sd-rows")
+    return known.mapInArrow(run, "h bigint, sig bigint, sides bigint, doc bigint, tie bigint, at bigint")
 
 
-def _candidates(contents: DataFrame) -> DataFrame:
-    """h, sig, first of the contents that share their anchor and a side of it with another one."""
+def _windows(rows: DataFrame) -> DataFrame:
+    """h, doc, tie, at, copy of the segments that an earlier document has just so (copy), and of
+    those that share their anchor and a side with a segment of another document."""
+    rows = rows.repartition("h").withColumn("first", F.min("doc").over(W.partitionBy("h", "sig").orderBy("doc").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("copy", F.col("first") < F.col("doc")).withColumn("left", F.shiftright("sides", 32)).withColumn("right", F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)))
+    for side in ("left", "right"):
+        near = W.partitionBy("h", side)
+        rows = rows.withColumn(f"{side}_near", F.min("first").over(near) < F.max("first").over(near))
+    return rows.where("copy or left_near or right_near").select("h", "doc", "tie", "at", "copy")
+
+
+def _aggregates(rows: DataFrame) -> DataFrame:
+    """The same for anchors of any number of segments, of which those of one content are counted as one."""
+    rows = stored(rows, "sd-hot-rows")
+    contents = stored(rows.groupBy("h", "sig").agg(F.min("doc").alias("first"), F.min("sides").alias("sides")), "sd-contents")
     side = F.explode(F.array(F.shiftright("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 40)))
-    by_side = contents.select("h", side.alias("side")).groupBy("h", "side").agg(F.count("*").alias("n")).where("n > 1").select("h", "side")
-    met = stored(by_side, "sd-sides")
-    near = contents.select("h", "sig", "first", side.alias("side")).join(checked(met), ["h", "side"])
-    return stored(near.groupBy("h", "sig").agg(F.min("first").alias("first")), "sd-near")
+    sides = contents.select("h", "sig", "first", side.alias("side"))
+    met = stored(sides.groupBy("h", "side").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("h", "side"), "sd-sides")
+    near = stored(sides.join(checked(met), ["h", "side"]).select("h", "sig").distinct().withColumn("near", F.lit(True)), "sd-near")
+    facts = stored(contents.select("h", "sig", "first").join(checked(near), ["h", "sig"], "left"), "sd-facts")
+    found = rows.join(checked(facts), ["h", "sig"]).withColumn("copy", F.col("first") < F.col("doc"))
+    return found.where("copy or near").select("h", "doc", "tie", "at", "copy")
 
 
 def _cut(known: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, sig, doc, hot, part: the bytes of the wanted contents, from their first document."""
+    """h, hot, doc, tie, at, part: the bytes of the wanted segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in small(batches):
-            out: list[list] = [[], [], [], [], []]
-            for doc, text, listed in zip(*(batch.column(i) for i in range(3)), strict=True):
-                doc, data = doc.as_py(), _bytes(text.as_py())
-                h, sig, hot = (listed.values.field(i).to_pylist() for i in range(3))
-                left = dict(zip(zip(h, sig, strict=True), hot, strict=True))
-                names = np.array(h, np.int64)
-                for _, anchor, whole, at, _ in _found([data]):
-                    for k in np.flatnonzero(np.isin(anchor, names)).tolist():
-                        key = (int(anchor[k]), int(whole[k]))
-                        if key in left:
-                            start, count = int(at[k]) >> COUNT_BITS, int(at[k]) & ((1 << COUNT_BITS) - 1)
-                            for column, value in zip(out, (*key, doc, left.pop(key), data[start : start + count + MATCH - 1]), strict=True):
-                                column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "sig", "doc", "hot", "part"])
-
-    lists = stored(wanted.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct("h", "sig", "hot")).alias("wanted")), "sd-wanted")
-    joined = known.select("doc", "text").join(checked(lists, 4), "doc").select("doc", "text", "wanted")
-    return stored(joined.mapInArrow(run, "h bigint, sig bigint, doc bigint, hot boolean, part binary").dropDuplicates(["h", "sig"]), "sd-parts")
+            out: list[list] = [[] for _ in types]
+            for doc, tie, text, listed in zip(*(batch.column(i) for i in range(4)), strict=True):
+                doc, tie, data = doc.as_py(), tie.as_py(), _bytes(text.as_py())
+                for h, hot, at in zip(*(listed.values.field(i).to_pylist() for i in range(3)), strict=True):
+                    start, count = at >> COUNT_BITS, at & ((1 << COUNT_BITS) - 1)
+                    for column, value in zip(out, (h, hot, doc, tie, at, data[start : start + count + MATCH - 1]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "hot", "doc", "tie", "at", "part"])
+
+    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "hot", "at")).alias("wanted"))
+    joined = known.join(stored(lists, "sd-wanted").hint("merge"), ["doc", "tie"])
+    return joined.select("doc", "tie", "text", "wanted").mapInArrow(run, "h bigint, hot boolean, doc bigint, tie bigint, at bigint, part binary")
 
 
 def repeated(texts: list[bytes], doc: np.ndarray, uri: str) -> np.ndarray:
@@ -215,7 +229,7 @@ def repeated(texts: list[bytes], doc: np.ndarray, uri: str) -> np.ndarray:
     data = np.frombuffer(b"".join(texts), np.uint8)
     mask = np.zeros(len(texts), np.int64)
     files = external_bwt.Files(uri)
-    external_bwt.build(files, data, np.cumsum(length) - length, length)
+    external_bwt.build(files, data, np.cumsum(length) - length, length, MATCH)
     for member, size, group in external_bwt.groups(files, MATCH):
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         least = np.repeat(np.minimum.reduceat(doc[member], begin), np.diff(np.append(begin, len(group))))
@@ -226,13 +240,18 @@ def repeated(texts: list[bytes], doc: np.ndarray, uri: str) -> np.ndarray:
 
 
 def _compared(parts: DataFrame, uri: str) -> DataFrame:
-    """h, sig, mask of the contents of anchors; the rows of one anchor are together."""
+    """doc, tie, at, mask of the segments of anchors; the rows of one anchor are together."""
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        h, sig, doc, part = zip(*rows, strict=True)
-        mask = repeated(list(part), np.array(doc, np.int64), uri)
+        # A content that is no copy stands in one document only, there perhaps several times.
+        place: dict[tuple[int, bytes], int] = {}
+        own = np.array([place.setdefault((h, part), len(place)) for h, _, _, _, part in rows], np.int64)
+        doc = np.zeros(len(place), np.int64)
+        doc[own] = [row[1] for row in rows]
+        mask = repeated([part for _, part in place], doc, uri)[own]
         some = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)[some]) for x in (h, sig, mask)], names=["h", "sig", "mask"])
+        columns = [np.array([rows[k][i] for k in some], np.int64) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(mask[some])], names=["doc", "tie", "at", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -246,15 +265,16 @@ def _compared(parts: DataFrame, uri: str) -> DataFrame:
             yield block(rows)
         freed()
 
-    return parts.repartition("h").sortWithinPartitions("h", "sig").mapInArrow(run, "h bigint, sig bigint, mask bigint")
+    return parts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc bigint, tie bigint, at bigint, mask bigint")
 
 
 def _by_string(parts: DataFrame) -> DataFrame:
-    """The same for anchors of very many contents: each string on its own, by an aggregate."""
-    strings = parts.select("h", "sig", "doc", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("part") - MATCH + 1), lambda k: F.substring("part", k, F.lit(MATCH)))).alias("k", "s"))
+    """The same for anchors of very many segments: each string on its own, by an aggregate."""
+    each = F.transform(F.sequence(F.lit(1), F.length("part") - MATCH + 1), lambda k: F.substring("part", k, F.lit(MATCH)))
+    strings = parts.select("h", "doc", "tie", "at", F.posexplode(each).alias("k", "s"))
     first = strings.groupBy("h", "s").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "s", "least")
     later = strings.join(checked(stored(first, "sd-strings")), ["h", "s"]).where("doc > least")
-    return later.groupBy("h", "sig").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
+    return later.groupBy("doc", "tie", "at").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
 
 
 def spans(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -291,25 +311,24 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     known = _known(docs)
-    rows = _rows(known, _anchors(known))
-    # A content of several documents is repeated as a whole in all but the first.
-    contents = rows.groupBy("h", "sig").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("sides").alias("sides"))
-    contents = stored(contents, "sd-contents")
-    near = _candidates(contents)
-    hot = stored(near.groupBy("h").count().where(F.col("count") > HOT_SEGMENTS).select("h", F.lit(True).alias("hot")), "sd-hot")
-    wanted = near.join(checked(hot), "h", "left").select("h", "sig", "first", F.coalesce("hot", F.lit(False)).alias("hot"))
-    parts = _cut(known, wanted)
+    anchors = _anchors(known)
+    hot = stored(anchors.where(F.col("n") > HOT_ROWS).select("h", F.lit(True).alias("hot")), "sd-hot")
+    rows = _rows(known, anchors)
+    few = F.lit(False).alias("hot")
+    if hot.isEmpty():
+        found = _windows(rows).select("*", few)
+    else:
+        frequent = _aggregates(rows.join(checked(hot.select("h")), "h", "left_semi")).select("*", F.lit(True).alias("hot"))
+        found = _windows(rows.join(checked(hot.select("h")), "h", "left_anti")).select("*", few).unionByName(frequent)
+    found = stored(found, "sd-found")
+    parts = stored(_cut(known, found.where("not copy")), "sd-parts")
     uri = f"{shared_dir(spark)}/tessera/sd-files"
-    masks = _compared(parts.where("not hot").select("h", "sig", "doc", "part"), uri).unionByName(_by_string(parts.where("hot")))
+    masks = _compared(parts.where("not hot").select("h", "doc", "tie", "at", "part"), uri)
+    if not hot.isEmpty():
+        masks = masks.unionByName(_by_string(parts.where("hot")))
     masks = stored(masks, "sd-masks")
-
-    # What becomes of each content: its mask in its first document, the whole of it in later ones.
-    whole = contents.where("first < last").select("h", "sig", "first")
-    facts = contents.select("h", "sig", "first").join(checked(masks), ["h", "sig"]).select("h", "sig", "first", "mask")
-    facts = stored(facts.unionByName(whole.join(checked(masks.select("h", "sig")), ["h", "sig"], "left_anti").withColumn("mask", F.lit(0).cast("bigint"))), "sd-facts")
-    every = F.expr(f"shiftleft(1L, cast(at & {(1 << COUNT_BITS) - 1} as int)) - 1")
-    met = rows.select("h", "sig", "doc", "tie", "at").join(checked(facts), ["h", "sig"])
-    places = met.select("doc", "tie", "at", F.when(F.col("doc") > F.col("first"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
+    whole = F.expr(f"shiftleft(1L, cast(at & {(1 << COUNT_BITS) - 1} as int)) - 1")
+    places = found.where("copy").select("doc", "tie", "at", whole.alias("mask")).unionByName(masks)
     places = stored(_merged(places.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "mask")).alias("places"))), "sd-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
