@@ -42,7 +42,7 @@ ENTRY_COST = 4
 #: Hubs a node of heavy lists is compared with; query sets scanned at once, and their shingles.
 HUBS = 3
 BLOCK = 2000
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 
 
 def overlap(n: int, m: int) -> int:
@@ -161,7 +161,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     lists = _sets(reps, "node bigint, n int, p array<bigint>", prefix).select("node", "n", F.explode("p").alias("token"))
     counts = stored(lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "jj-counts")
-    met = stored(lists.join(checked(counts), "token"), "jj-met")
+    met = stored(lists.join(counts, "token"), "jj-met")
 
     heavy = met.where(F.col("c") > LIGHT)
     hit = stored(heavy.groupBy("node").agg(F.count("*").alias("heavy"), F.max("n").alias("n")), "jj-heavy")
@@ -214,7 +214,7 @@ def _scan(sets: DataFrame, block: DataFrame) -> DataFrame:
     lengths = np.array([len(r["tokens"]) for r in rows], np.int64)
     tokens = np.concatenate([np.array(r["tokens"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
     order = np.argsort(tokens, kind="stable")
-    index = spark.sparkContext.broadcast((tokens[order], np.repeat(np.arange(len(rows)), lengths)[order], nodes, parts, lengths))
+    index = spark.sparkContext.broadcast((tokens[order], np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[order], nodes, parts, lengths))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, owner, node, part, length = index.value

@@ -24,9 +24,14 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of text that Python handles at once; a longer text is alone.
 PIECE_ROWS = 512
-PIECE_BYTES = 4 << 20
-#: Spark's setting by which shuffle files go when the query that wrote them has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PIECE_BYTES = 1 << 20
+#: Settings of a step whose result is stored: shuffle files go when the query that wrote them has
+#: ended, and Arrow batches are small, since buffers outside of the heap are kept for the next ones.
+STEP_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(PIECE_BYTES),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,20 +57,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings, for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and the shuffle
-    files of this step go at its end."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, STEP_SETTINGS):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,7 +92,9 @@ def freed() -> None:
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of few rows and bytes, so that what Python makes of a batch of texts
-    stays small; a row of more bytes is a piece of its own. At a task's end memory is given back."""
+    stays small; a row of more bytes is a piece of its own. At a task's end memory is given back,
+    which Arrow's memory is with the other, if it comes from the same allocator."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         size = np.zeros(batch.num_rows, np.int64)
         for column in batch.columns:

@@ -19,7 +19,7 @@ _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _FACTOR = [int.from_bytes(hashlib.md5(b"place%d" % k).digest()[:8], "little") | 1 for k in range(64)]
 #: Texts are hashed in groups of about so many bytes, to bound memory.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
