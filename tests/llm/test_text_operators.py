@@ -256,12 +256,32 @@ def test_chunks_join_exactly(texts):
     r = random.Random(2)
     bits = ["the ", "été ", "字", "😀", "\n", "  ", "words", "<|endoftext|>", "'re", "'", "'l", "l", "\t", "123", "!!", "<|", "endoftext|>", "x" * 40, "é" * 30]
     random_texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 900))) for _ in range(150)]
-    for text in ODD_TEXTS + random_texts + [texts[-1], "é字" * 20_000, "a é" + "é" * 9000 + " b " * 900]:
+    odd_runs = ["x" * 100_000, " " * 50_000 + "y", "\x1c\x85\u3000\u2028 a"]  # one piece each: nothing to reuse
+    for text in odd_runs + ODD_TEXTS + random_texts + [texts[-1], "é字" * 20_000, "a é" + "é" * 9000 + " b " * 900]:
         taken = {name: encoder.marked(part).astype("<u4").tobytes() for _, parts in bpe.pieces(text, tuple(encoder.added)) for name, part in parts if r.random() < 0.8}
         ids = encoder.assembled(text, taken)
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
         assert encoder.decode(ids) == text.encode() and encoder.ids(text).tolist() == ids.tolist()
-    assert encoder.reused > 0.4 * encoder.total
+    assert encoder.reused > 0.4 * (encoder.total - 150_000)
+
+
+def test_every_character_is_split_alike():
+    """All code points as letter, number, blank or sign: the ranks' splitter against the library."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    config = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    encoder, plain = bpe.Encoder(config), Tokenizer.from_str(config)
+    for low in range(0, 0x110000, 512):
+        text = "".join(f"a{c}a1{c}1 {c}\t{c}x  {c}!" for c in map(chr, range(low, low + 512)) if not "\ud800" <= c < "\ue000")
+        assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, hex(low)
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers as P
+
+    with pytest.raises((ValueError, KeyError)):
+        bpe.Encoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
 
 
 # Quality rules ----------------------------------------------------------------------------------
