@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,31 +17,36 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, keys: list[str] | None = None, most_rounds: int = 200) -> DataFrame:
+def closure(edges: DataFrame, keys: list[str] | None = None, of: DataFrame | None = None) -> DataFrame:
     """keys, ancestor, node, depth: all pairs with their least distance, each node with itself.
 
-    ``edges``: keys, parent, child. Semi-naive: each round joins only what the last one added,
-    and anti-joins what is known, so that cycles end.
+    ``edges``: keys, parent, child. ``of``: keys, ancestor, the only ancestors that are wanted (all,
+    where it is None). Semi-naive: each round joins only what the last one added, and anti-joins
+    what is known, so that cycles end; rounds go on until nothing is new.
     """
     keys = keys or []
     ends = edges.select(*keys, F.col("parent").alias("node")).unionByName(edges.select(*keys, F.col("child").alias("node"))).distinct()
-    known = saved(ends.select(*keys, F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth")), "closure")
+    starts = ends.select(*keys, F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
+    known = saved(starts if of is None else starts.join(of.select(*keys, "ancestor").distinct(), [*keys, "ancestor"], "left_semi"), "closure")
     step = edges.select(*keys, F.col("parent").alias("node"), F.col("child").alias("next")).distinct()
     delta = known
-    for depth in range(1, most_rounds + 1):
+    for depth in count(1):
         more = delta.join(step, [*keys, "node"]).select(*keys, "ancestor", F.col("next").alias("node")).distinct()
         delta = saved(more.join(known, [*keys, "ancestor", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if delta.isEmpty():
-            break
+            return known
         known = known.unionByName(delta)
-    return known
 
 
 def bag_closure(edges: DataFrame, most_depth: int) -> DataFrame:

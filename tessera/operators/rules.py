@@ -61,12 +61,12 @@ def applied(rule: Rule, facts: DataFrame, delta: DataFrame | None = None) -> Dat
     return found.distinct()
 
 
-def fixpoint(facts: DataFrame, rules: list[Rule], most_rounds: int = 100) -> DataFrame:
+def fixpoint(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """All facts (graph_id, s, p, o) after the rules, as a set."""
     known = saved(facts.select("graph_id", *TRIPLE).distinct(), "facts")
     for salience in sorted({r.salience for r in rules}, reverse=True):
         stratum, delta = [r for r in rules if r.salience == salience], None
-        for _ in range(most_rounds):
+        while True:
             made = None
             for r in stratum:
                 one = applied(r, known, delta)

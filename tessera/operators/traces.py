@@ -53,19 +53,20 @@ def loop_bounds(text: Column) -> tuple[Column, Column, Column]:
     return get(1), get(2), get(3)
 
 
-def variants(points: DataFrame, most: int = 5) -> DataFrame:
+def variants(points: DataFrame, most: int | None = None) -> DataFrame:
     """Expression variants: a true and a false branch at each short-circuit operand in order,
     except behind one that ended the evaluation; names grow by t or f.
 
-    ``points``: expr_id and ``n``, the number of operands; the first ``most`` by name stay.
+    ``points``: expr_id and ``n``, the number of operands; the first ``most`` by name stay, all
+    where it is None. An expression of n operands has n + 1 variants, as its first false ends it.
     """
     grown = points.select("expr_id", "n", F.lit("").alias("name"), F.lit(False).alias("ended"))
     top = points.agg(F.max("n")).first()[0] or 0
-    for k in range(int(min(top, 10))):  # operands of one expression, bounded by its size
+    for k in range(int(top)):  # operands of one expression, as many as the longest has
         open_ = (F.col("n") > k) & ~F.col("ended")
         two = grown.where(open_).withColumn("branch", F.explode(F.array(F.lit("t"), F.lit("f"))))
         two = two.select("expr_id", "n", F.concat("name", "branch").alias("name"), (F.col("branch") == "f").alias("ended"))
         grown = two.unionByName(grown.where(~open_))
-        first = F.row_number().over(W.partitionBy("expr_id").orderBy("name"))
-        grown = grown.withColumn("_n", first).where(F.col("_n") <= 4 * most).drop("_n")
+    if most is None:
+        return grown.select("expr_id", "name")
     return grown.withColumn("_n", F.row_number().over(W.partitionBy("expr_id").orderBy("name"))).where(F.col("_n") <= most).select("expr_id", "name")

@@ -73,31 +73,32 @@ def printed(v):
 
 
 def ways(v, parity: int):
-    """Each class of a program's small nodes as a partial trace."""
-    n = v("nodes").where(f"node between 1 and 8 and node % 2 = {parity}")
+    """Each class of a program's left (0) or right (1) parts of a statement as a partial trace."""
+    n = v("nodes").where(f"parent is not null and node % 2 = {parity}")
     way = F.struct((F.col("node") % 3 + 1).alias("len"), F.lit(1).alias("depth"), F.array(F.lit("joint") if parity else F.col("class"), F.col("class") if parity else F.lit("joint")).alias("acts"), F.array("class").alias("mistakes"), F.lit(False).alias("invalid"))
-    return n.select("algo_id", "node", way.alias("way"))
+    return n.select("algo_id", "parent", "node", way.alias("way"))
 
 
-@query("E1", "SELECT a.algo_id, a.node AS left_node, b.node AS right_node, CAST(a.node % 3 + 1 + b.node % 3 + 1 AS BIGINT) AS len, a.class || ',joint,' || b.class AS acts FROM v_nodes a JOIN v_nodes b ON b.algo_id = a.algo_id WHERE a.node BETWEEN 1 AND 8 AND a.node % 2 = 0 AND b.node BETWEEN 1 AND 8 AND b.node % 2 = 1")
+@query("E1", "SELECT a.algo_id, a.node AS left_node, b.node AS right_node, CAST(a.node % 3 + 1 + b.node % 3 + 1 AS BIGINT) AS len, a.class || ',joint,' || b.class AS acts FROM v_nodes a JOIN v_nodes b ON b.algo_id = a.algo_id AND b.parent = a.parent WHERE a.node % 2 = 0 AND b.node % 2 = 1")
 def combined_ways(v):
     a = ways(v, 0).withColumnsRenamed({"node": "left_node", "way": "a"})
     b = ways(v, 1).withColumnsRenamed({"node": "right_node", "way": "b"})
-    both = a.join(b, "algo_id").withColumn("w", traces.combined(F.col("a"), F.col("b")))
+    both = a.join(b, ["algo_id", "parent"]).withColumn("w", traces.combined(F.col("a"), F.col("b")))
     return both.select("algo_id", "left_node", "right_node", "w.len", F.array_join("w.acts", ",").alias("acts"))
 
 
-@query("E2", "SELECT a.algo_id, CAST(COUNT(*) AS BIGINT) AS n FROM v_nodes a JOIN v_nodes b ON b.algo_id = a.algo_id AND b.node BETWEEN 1 AND 4 WHERE a.node BETWEEN 1 AND 4 GROUP BY a.algo_id")
+@query("E2", "SELECT a.algo_id, a.parent, CAST(COUNT(*) AS BIGINT) AS n FROM v_nodes a JOIN v_nodes b ON b.algo_id = a.algo_id AND b.parent = a.parent GROUP BY a.algo_id, a.parent")
 def products(v):
-    n = v("nodes").where("node between 1 and 4").select("algo_id", "node")
-    return n.join(n.withColumnRenamed("node", "other"), "algo_id").groupBy("algo_id").agg(F.count("*").alias("n"))
+    """Every part of a statement with every one of the same statement."""
+    n = v("nodes").select("algo_id", "parent", "node")
+    return n.join(n.withColumnRenamed("node", "other"), ["algo_id", "parent"]).groupBy("algo_id", "parent").agg(F.count("*").alias("n"))
 
 
 @query("E3")
 def statement_traces(v):
     """Ways of a sequence of two statements, pruned after the product."""
-    out = traces.product(ways(v, 0).drop("node"), ways(v, 1).drop("node"), ["algo_id"])
-    return out.select("algo_id", "way.len", F.array_join("way.mistakes", ",").alias("mistakes"), F.array_join("way.acts", ",").alias("acts"))
+    out = traces.product(ways(v, 0).drop("node"), ways(v, 1).drop("node"), ["algo_id", "parent"])
+    return out.select("algo_id", "parent", "way.len", F.array_join("way.mistakes", ",").alias("mistakes"), F.array_join("way.acts", ",").alias("acts"))
 
 
 @query("E4", "SELECT algo_id, node, CASE WHEN class = 'alternative' THEN 'return' WHEN class = 'loop' THEN 'break' ELSE 'normal' END AS exit_bound, CAST(COUNT(*) OVER (PARTITION BY algo_id, CASE WHEN class = 'alternative' THEN 'return' WHEN class = 'loop' THEN 'break' ELSE 'normal' END) AS BIGINT) AS ways FROM v_nodes")
@@ -136,12 +137,12 @@ def trace_graph(v):
     return t.select("trace_id", F.posexplode("acts").alias("place", "a")).select("trace_id", "place", "a.action_id")
 
 
-@query("E9", """WITH p AS (SELECT expr_id, LEAST(COUNT(*), 3) AS n FROM v_tokens WHERE text = '&&' GROUP BY expr_id),
- c AS (SELECT * FROM (VALUES (1, 'f'), (1, 't'), (2, 'f'), (2, 'tf'), (2, 'tt'), (3, 'f'), (3, 'tf'), (3, 'ttf'), (3, 'ttt')) c(n, name))
- SELECT p.expr_id, c.name FROM p JOIN c ON c.n = p.n""")
+@query("E9", """WITH p AS (SELECT expr_id, COUNT(*) AS n FROM v_tokens WHERE text = '&&' GROUP BY expr_id),
+ k AS (SELECT expr_id, n, UNNEST(RANGE(0, n + 1)) AS k FROM p)
+ SELECT expr_id, CASE WHEN k < n THEN REPEAT('t', CAST(k AS INT)) || 'f' ELSE REPEAT('t', CAST(n AS INT)) END AS name FROM k""")
 def expression_variants(v):
     """One t or f at each && operand, ended by the first f."""
-    points = v("tokens").where("text = '&&'").groupBy("expr_id").agg(F.least(F.count("*"), F.lit(3)).alias("n"))
+    points = v("tokens").where("text = '&&'").groupBy("expr_id").agg(F.count("*").alias("n"))
     return traces.variants(points)
 
 
@@ -419,9 +420,9 @@ def deleted(v):
     return v("questions_meta").join(v.rows("template_id bigint", (7,)), "template_id", "left_anti").select("id")
 
 
-@query("D7", "SELECT subject, verb, CASE WHEN subject = 'n1' AND verb = 'in_region' THEN 'r9' ELSE object END AS object FROM v_facts WHERE verb <> 'line'")
+@query("D7", "SELECT subject, verb, CASE WHEN subject = 'n1' AND verb = 'in_region' THEN 'r9' ELSE object END AS object FROM v_facts")
 def set_object(v):
-    return fx.replaced(v("facts").where("verb <> 'line'"), v.rows("subject string, verb string, object string", ("n1", "in_region", "r9")))
+    return fx.replaced(v("facts"), v.rows("subject string, verb string, object string", ("n1", "in_region", "r9")))
 
 
 @query("D8", "SELECT subject, CASE WHEN subject = 'n2' THEN 'lies_in' ELSE verb END AS verb, object FROM v_facts WHERE verb = 'in_region'")

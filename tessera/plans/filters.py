@@ -26,13 +26,16 @@ def none_of(v):
     return meta(v).where(masks.has_none(F.col("concept_bits"), 20)).select("id")
 
 
-@query("F3", "SELECT r.id AS request, CAST(COUNT(*) AS BIGINT) AS n FROM v_requests r JOIN v_questions_meta q ON q.domain_shortname = 'ctrl_flow' AND q.id < 200 AND (r.concept_mask = 0 OR (q.concept_bits & r.concept_mask) <> 0) AND (r.violation_mask = 0 OR (q.violation_bits & r.violation_mask) <> 0) WHERE r.id < 50 GROUP BY r.id")
+@query("F3", "SELECT r.id AS request, CAST(COUNT(*) AS BIGINT) AS n FROM v_requests r JOIN v_questions_meta q ON q.domain_shortname = 'ctrl_flow' AND (r.concept_mask = 0 OR (q.concept_bits & r.concept_mask) <> 0) AND (r.violation_mask = 0 OR (q.violation_bits & r.violation_mask) <> 0) GROUP BY r.id")
 def some_of(v):
-    """Masks of each request against a bounded part of the bank."""
-    q = meta(v).where("domain_shortname = 'ctrl_flow' and id < 200").select("concept_bits", "violation_bits")
-    r = v("requests").where("id < 50").select(F.col("id").alias("request"), "concept_mask", "violation_mask")
-    found = r.join(q, masks.has_some(F.col("concept_bits"), F.col("concept_mask")) & masks.has_some(F.col("violation_bits"), F.col("violation_mask")))
-    return found.groupBy("request").agg(F.count("*").alias("n"))
+    """Masks of each request against the whole bank. Rows of equal masks are one before the join, so it
+    grows with the different masks only, and each request then looks up the count of its own."""
+    q = meta(v).where("domain_shortname = 'ctrl_flow'").groupBy("concept_bits", "violation_bits").agg(F.count("*").alias("c"))
+    r = v("requests").select(F.col("id").alias("request"), "concept_mask", "violation_mask")
+    asked = r.select("concept_mask", "violation_mask").distinct()
+    found = asked.join(q, masks.has_some(F.col("concept_bits"), F.col("concept_mask")) & masks.has_some(F.col("violation_bits"), F.col("violation_mask")))
+    counts = found.groupBy("concept_mask", "violation_mask").agg(F.sum("c").alias("n"))
+    return r.join(counts, ["concept_mask", "violation_mask"]).select("request", "n")
 
 
 @query("F4", "SELECT id FROM v_questions_meta WHERE (concept_bits & 3) = 3")

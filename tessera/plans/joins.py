@@ -36,10 +36,10 @@ def attempts_with_user(v):
     return v("interactions").groupBy("attempt_id").agg(F.count_distinct("question_id").alias("questions")).join(users, "attempt_id", "left")
 
 
-@query("J4", "SELECT r.r_regionkey AS survey, r.r_name AS title, n.n_nationkey AS question, c.c_custkey AS answer FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_custkey < 60")
+@query("J4", "SELECT r.r_regionkey AS survey, r.r_name AS title, n.n_nationkey AS question, c.c_custkey AS answer FROM region r LEFT JOIN nation n ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey")
 def survey_votes(v):
     n = v("nation").select(F.col("n_regionkey").alias("survey"), F.col("n_nationkey").alias("question"))
-    c = v("customer").where("c_custkey < 60").select(F.col("c_nationkey").alias("question"), F.col("c_custkey").alias("answer"))
+    c = v("customer").select(F.col("c_nationkey").alias("question"), F.col("c_custkey").alias("answer"))
     return v("region").select(F.col("r_regionkey").alias("survey"), F.col("r_name").alias("title")).join(n, "survey", "left").join(c, "question", "left").select("survey", "title", "question", "answer")
 
 
@@ -64,10 +64,10 @@ def dictionary(v):
 _DICT = "(VALUES ('loop', 1), ('alternative', 2), ('expr', 4), ('stmt', 8), ('sequence', 16)) d(name, bit)"
 
 
-@query("J7", f"SELECT n.algo_id, CAST(bit_or(d.bit) AS BIGINT) AS mask FROM v_nodes n JOIN {_DICT} ON d.name = n.class WHERE n.node < 4 GROUP BY n.algo_id")
+@query("J7", f"SELECT n.algo_id, CAST(bit_or(d.bit) AS BIGINT) AS mask FROM v_nodes n JOIN {_DICT} ON d.name = n.class GROUP BY n.algo_id")
 def names_to_mask(v):
     d = F.broadcast(dictionary(v))  # five rows
-    return v("nodes").where("node < 4").join(d, F.col("class") == F.col("name")).groupBy("algo_id").agg(F.bit_or("bit").alias("mask"))
+    return v("nodes").join(d, F.col("class") == F.col("name")).groupBy("algo_id").agg(F.bit_or("bit").alias("mask"))
 
 
 @query("J8", f"SELECT q.id, STRING_AGG(d.name, ',' ORDER BY d.bit) AS names FROM v_questions_meta q JOIN {_DICT} ON (q.concept_bits & d.bit) <> 0 GROUP BY q.id")
@@ -85,9 +85,9 @@ def reason_mistakes(v):
     return v("acts").join(F.broadcast(m), ["class", "reason"]).groupBy("trace_id").agg(F.array_join(F.sort_array(F.collect_set("mistake")), ",").alias("mistakes"))
 
 
-@query("J10", "SELECT l.l_orderkey AS answer, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey AND p.p_size < 10 GROUP BY l.l_orderkey")
+@query("J10", "SELECT l.l_orderkey AS answer, CAST(COUNT(*) AS BIGINT) AS n FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY l.l_orderkey")
 def answers_to_objects(v):
-    parts = v("part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
+    parts = v("part").select(F.col("p_partkey").alias("l_partkey"))
     return v("lineitem").join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("answer")).agg(F.count("*").alias("n"))
 
 
@@ -99,10 +99,10 @@ def before_by_third(v):
     return a.join(b, "third").select("x", "y")
 
 
-@query("J12", "SELECT a.question_id, CAST(a.order_number AS BIGINT) AS i, CAST(b.order_number AS BIGINT) AS j FROM v_interactions a JOIN v_interactions b ON a.question_id = b.question_id AND a.order_number < b.order_number AND b.order_number <= 4")
+@query("J12", "SELECT a.question_id, CAST(a.order_number AS BIGINT) AS i, CAST(b.order_number AS BIGINT) AS j FROM v_interactions a JOIN v_interactions b ON a.question_id = b.question_id AND a.order_number < b.order_number")
 def ordered_pairs(v):
-    """Pairs of the first four answers of a question in order."""
-    i = v("interactions").where("order_number <= 4").select("question_id", "order_number")
+    """Pairs of the answers of a question in order, as the operator asks for."""
+    i = v("interactions").select("question_id", "order_number")
     a, b = i.withColumnRenamed("order_number", "i"), i.withColumnRenamed("order_number", "j")
     return a.join(b, "question_id").where("i < j")
 

@@ -38,8 +38,8 @@ def stratified_rules(v):
     return rules.inferred(program_facts(v), rules.CONTROL_FLOW).where("p = 'has_inner_loop'").select("graph_id", "s", "o")
 
 
-def expression_facts(v, below: int):
-    ops = ex.operators(v("tokens").where(f"expr_id < {below}"), jsonio.operators(v.spark))
+def expression_facts(v):
+    ops = ex.operators(v("tokens"), jsonio.operators(v.spark))
     b = ex.before_direct(ops)
     return b.select(F.col("expr_id").cast("string").alias("graph_id"), F.col("first").cast("string").alias("s"), F.lit("before_direct").alias("p"), F.col("then").cast("string").alias("o"))
 
@@ -52,14 +52,14 @@ _ORDER = f"""ops AS (SELECT t.expr_id, t.idx, t.text, o.prec, o.assoc FROM v_tok
 
 @query("I3", f"WITH {_ORDER} SELECT DISTINCT CAST(a.expr_id AS VARCHAR) AS graph_id, CAST(a.first AS VARCHAR) AS s, CAST(b.second AS VARCHAR) AS o FROM bd a JOIN bd b ON b.expr_id = a.expr_id AND b.first = a.second")
 def solved(v):
-    return rules.inferred(expression_facts(v, 1 << 40), rules.EXPRESSION).select("graph_id", "s", "o")
+    return rules.inferred(expression_facts(v), rules.EXPRESSION).select("graph_id", "s", "o")
 
 
-@query("I4", f"WITH {_ORDER} SELECT CAST(expr_id AS VARCHAR) AS graph_id, CAST(second AS VARCHAR) AS s, CAST(first AS VARCHAR) AS o FROM bd WHERE second < first AND expr_id < 100")
+@query("I4", f"WITH {_ORDER} SELECT CAST(expr_id AS VARCHAR) AS graph_id, CAST(second AS VARCHAR) AS s, CAST(first AS VARCHAR) AS o FROM bd WHERE second < first")
 def judged(v):
     """Operators answered from left to right: what came before one that had to be first."""
-    f = expression_facts(v, 100)
-    used = v("tokens").where("expr_id < 100 and token_type = 'operator'").select(F.col("expr_id").cast("string").alias("graph_id"), F.col("idx").cast("string").alias("s"), F.lit("used_at").alias("p"), F.col("idx").cast("string").alias("o"))
+    f = expression_facts(v)
+    used = v("tokens").where("token_type = 'operator'").select(F.col("expr_id").cast("string").alias("graph_id"), F.col("idx").cast("string").alias("s"), F.lit("used_at").alias("p"), F.col("idx").cast("string").alias("o"))
     return rules.inferred(f.unionByName(used), rules.VIOLATIONS).select("graph_id", "s", "o")
 
 
@@ -153,7 +153,7 @@ def correct_laws(v):
 def specific_errors(v):
     """Most specific error classes of the acts of a trace: leaves below class 2, each once."""
     e = v("concept_edges")
-    leaves = closure(e).where("ancestor = 2").select(F.col("node").alias("c")).join(e.select(F.col("parent").alias("c")), "c", "left_anti")
+    leaves = closure(e, of=v.rows("ancestor bigint", (2,))).select(F.col("node").alias("c")).join(e.select(F.col("parent").alias("c")), "c", "left_anti")
     acts = v("acts").select("trace_id", (F.col("action_id") * 10 + F.col("reason")).alias("c"))
     return acts.join(leaves, "c", "left_semi").groupBy("trace_id").agg(F.count_distinct("c").alias("kinds"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import masks, numeric
+from tessera.sources import files
 
 from .joins import joined
 from .registry import query
@@ -50,18 +51,19 @@ def next_stage(v):
     return rows.agg(F.coalesce(F.min(F.when(F.col("done") < F.col("upto"), F.col("stage"))), F.max("stage")).alias("stage"))
 
 
-_POOL = "SELECT * FROM v_questions_meta WHERE domain_shortname = 'ctrl_flow' AND stage = 3 AND id < 600"
+_POOL = "SELECT * FROM v_questions_meta WHERE domain_shortname = 'ctrl_flow' AND stage = 3"
 
 
 @query("W5", f"""WITH p AS ({_POOL}), r AS (SELECT id, ROW_NUMBER() OVER (ORDER BY ABS(integral_complexity - 0.5), id) + ROW_NUMBER() OVER (ORDER BY bit_count(concept_bits & 12) - 3 * bit_count(concept_bits & 3), id) AS fused FROM p)
  SELECT id, CAST(fused AS BIGINT) AS fused FROM r ORDER BY fused, id LIMIT 25""")
 def rank_fusion(v):
-    """Two orders of a bounded pool, added up."""
-    pool = v("questions_meta").where("domain_shortname = 'ctrl_flow' and stage = 3 and id < 600")
-    near = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.abs(F.col("integral_complexity") - 0.5), "id"))
+    """Two orders of the whole pool, added up; each is numbered by ranges, so no task orders it all."""
     unwanted = masks.hits(F.col("concept_bits"), 12) - 3 * masks.hits(F.col("concept_bits"), 3)
-    other = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(unwanted, "id"))
-    return pool.select("id", (near + other).cast("bigint").alias("fused")).orderBy("fused", "id").limit(25)
+    pool = v("questions_meta").where("domain_shortname = 'ctrl_flow' and stage = 3")
+    pool = pool.select("id", F.abs(F.col("integral_complexity") - 0.5).alias("far"), unwanted.alias("unwanted"))
+    near = files.numbered(pool.select("far", "id"), ["far", "id"], "a").select("id", "a")
+    other = files.numbered(pool.select("unwanted", "id"), ["unwanted", "id"], "b").select("id", "b")
+    return near.join(other, "id").select("id", (F.col("a") + F.col("b") + 2).cast("bigint").alias("fused")).orderBy("fused", "id").limit(25)
 
 
 @query("W6", """WITH t AS (SELECT algo_id, node, class, node - ROW_NUMBER() OVER (PARTITION BY algo_id, class ORDER BY node) AS island FROM v_nodes),

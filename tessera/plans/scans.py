@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.sources import files, jsonio, turtle
+from tessera.sources import files, jsonio, rdfxml, turtle
 
 from .registry import query
 
@@ -16,11 +16,10 @@ def scan_metadata(v):
     return v("questions_meta")
 
 
-@query("S2", "SELECT subject, verb, object FROM v_facts WHERE verb <> 'line' OR subject IN ('o1', 'o2', 'o3')")
+@query("S2", "SELECT subject, verb, object FROM v_facts")
 def read_turtle(v):
     """Facts written as Turtle lines and parsed again."""
-    f = v("facts").where("verb <> 'line' or subject in ('o1', 'o2', 'o3')")
-    return turtle.parsed(turtle.lines(f).select("value"))
+    return turtle.parsed(turtle.lines(v("facts")).select("value"))
 
 
 @query("S3", "SELECT ':' || subject || ' :' || verb || ' ' || CASE WHEN object_type = 'rdf:resource' THEN ':' || object WHEN object_type = 'xsd:int' THEN object ELSE '\"' || object || '\"' END || ' .' AS value FROM v_facts")
@@ -28,6 +27,16 @@ def write_turtle(v):
     return turtle.lines(v("facts")).select("value")
 
 
+@query("S4", "SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS subject, 'type' AS verb, 'Region' AS object FROM region UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR), 'label', r_name FROM region UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'in_region', 'r' || CAST(n_regionkey AS VARCHAR) FROM nation")
+def read_rdf_xml(v):
+    """RDF/XML documents, one a region, with its nations as plain descriptions."""
+    head = F.lit('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://bank.invalid/#">')
+    nation = F.concat(F.lit('<rdf:Description rdf:about="#n'), F.col("n_nationkey").cast("string"), F.lit('"><in_region rdf:resource="#r'), F.col("n_regionkey").cast("string"), F.lit('"/></rdf:Description>'))
+    nations = v("nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list(nation)), "").alias("nations"))
+    region = F.concat(F.lit('<Region rdf:about="#r'), F.col("r_regionkey").cast("string"), F.lit('"><label>'), F.col("r_name"), F.lit("</label></Region>"))
+    return rdfxml.parsed(v("region").join(nations, "r_regionkey", "left").select(F.concat(head, region, F.coalesce("nations", F.lit("")), F.lit("</rdf:RDF>")).alias("value")))
+
+
 @query("S5", "SELECT DISTINCT subject, verb, object FROM v_facts WHERE verb IN ('in_nation', 'in_region') UNION SELECT 'extra', 'label', 'merged'")
 def merged_graphs(v):
     extra = v.rows("subject string, verb string, object string", ("extra", "label", "merged"))
@@ -41,9 +50,9 @@ def graph_to_json(v):
     return jsonio.children(v("nodes").where("parent = 0"))
 
 
-@query("S7", "SELECT id, CASE WHEN id % 2 = 0 THEN 'MATCHING' ELSE 'ORDER' END AS kind, CAST(solution_steps AS BIGINT) AS steps FROM v_questions_meta WHERE id < 400")
+@query("S7", "SELECT id, CASE WHEN id % 2 = 0 THEN 'MATCHING' ELSE 'ORDER' END AS kind, CAST(solution_steps AS BIGINT) AS steps FROM v_questions_meta")
 def read_question_json(v):
-    q = v("questions_meta").where("id < 400").select(F.to_json(F.struct("id", F.when(F.col("id") % 2 == 0, "MATCHING").otherwise("ORDER").alias("questionType"), F.col("solution_steps").alias("steps"))).alias("value"))
+    q = v("questions_meta").select(F.to_json(F.struct("id", F.when(F.col("id") % 2 == 0, "MATCHING").otherwise("ORDER").alias("questionType"), F.col("solution_steps").alias("steps"))).alias("value"))
     return jsonio.questions(q)
 
 
@@ -74,6 +83,13 @@ def templates_by_size(v):
     return files.sized(v("templates"), "file_size", 3072, 40960, skip=5, most=25, order="name").select("id", "name", "file_size")
 
 
+@query("S13")
+def found_files(v):
+    """Files of an extension anywhere below the data folder, by name and length; no SQL, as DuckDB is not told
+    the folder."""
+    return files.listed(v.spark, v.dir, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
 @query("S14", """SELECT name, hash, MIN(id) AS id FROM (SELECT p_partkey AS id, p_name AS name, p_size AS hash FROM part WHERE p_size <= 40) t
  WHERE id % 3 = 0 GROUP BY name, hash""")
 def collected_results(v):
@@ -116,6 +132,6 @@ def task_list(v):
     return files.task_list(lines)
 
 
-@query("S23", "SELECT batch, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY subject, verb, object) - 1) / 400) AS BIGINT) AS batch FROM (SELECT DISTINCT subject, verb, object FROM v_facts WHERE verb <> 'line') d) t GROUP BY batch")
+@query("S23", "SELECT batch, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY subject, verb, object) - 1) / 400) AS BIGINT) AS batch FROM (SELECT DISTINCT subject, verb, object FROM v_facts) d) t GROUP BY batch")
 def upload_batches(v):
-    return files.batched(v("facts").where("verb <> 'line'").select("subject", "verb", "object").distinct(), ["subject", "verb", "object"], 400).groupBy("batch").agg(F.count("*").alias("n"))
+    return files.batched(v("facts").select("subject", "verb", "object").distinct(), ["subject", "verb", "object"], 400).groupBy("batch").agg(F.count("*").alias("n"))

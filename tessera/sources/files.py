@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.closure import saved
+
 
 def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files below a directory with their length; contents are not read."""
@@ -20,15 +22,19 @@ def first_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def batched(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Number batches of ``size`` rows in order: counts of range partitions give each its offset."""
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    inside = F.row_number().over(W.partitionBy("_p").orderBy("_i"))
-    counts = sorted_rows.groupBy("_p").agg(F.count("*").alias("_c"))
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number from 0 in a total order: ranges are sorted apart and saved, and the
+    counts of the ranges, one row each, give their offsets."""
+    ranges = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranges")
+    counts = ranges.groupBy("_p").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_p", before.alias("_before"))  # one row per partition
-    numbered = sorted_rows.withColumn("_k", inside).join(F.broadcast(offsets), "_p")
-    return numbered.withColumn("batch", F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("bigint")).drop("_p", "_i", "_k", "_before")
+    inside = F.row_number().over(W.partitionBy("_p").orderBy("_i")) - 1
+    return ranges.withColumn("_k", inside).join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").withColumn(name, F.col("_b") + F.col("_k")).drop("_p", "_i", "_k", "_b")
+
+
+def batched(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Number batches of ``size`` rows in order."""
+    return numbered(rows, order, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("bigint"))
 
 
 def task_list(lines: DataFrame) -> DataFrame:

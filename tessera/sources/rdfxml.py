@@ -1,9 +1,11 @@
-"""RDF/XML ontologies, which are small single files, as facts."""
+"""RDF/XML ontologies, which are small files, as facts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
@@ -30,7 +32,17 @@ def triples(text: str) -> list[tuple[str, str, str]]:
     return found
 
 
+def parsed(texts: DataFrame, column: str = "value") -> DataFrame:
+    """subject, verb, object of a column of RDF/XML documents, one document per row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [t for text in batch.column(0).to_pylist() if text for t in triples(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["subject", "verb", "object"])
+
+    return texts.select(column).mapInArrow(run, "subject string, verb string, object string")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Read through Spark, so that any store it knows can hold the file."""
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect())
-    return spark.createDataFrame(triples(text), "subject string, verb string, object string")
+    """All files at a path, each one document, read through Spark and so from any store it knows."""
+    return parsed(spark.read.text(path, wholetext=True))
