@@ -60,13 +60,9 @@ def variants(points: DataFrame, most: int | None = None) -> DataFrame:
     ``points``: expr_id and ``n``, the number of operands; the first ``most`` by name stay, all
     where it is None. An expression of n operands has n + 1 variants, as its first false ends it.
     """
-    grown = points.select("expr_id", "n", F.lit("").alias("name"), F.lit(False).alias("ended"))
-    top = points.agg(F.max("n")).first()[0] or 0
-    for k in range(int(top)):  # operands of one expression, as many as the longest has
-        open_ = (F.col("n") > k) & ~F.col("ended")
-        two = grown.where(open_).withColumn("branch", F.explode(F.array(F.lit("t"), F.lit("f"))))
-        two = two.select("expr_id", "n", F.concat("name", "branch").alias("name"), (F.col("branch") == "f").alias("ended"))
-        grown = two.unionByName(grown.where(~open_))
+    ways = points.select("expr_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint"))).alias("k"))
+    ended = F.when(F.col("k") < F.col("n"), "f").otherwise("")
+    grown = ways.select("expr_id", F.concat(F.repeat(F.lit("t"), F.col("k").cast("int")), ended).alias("name"))
     if most is None:
-        return grown.select("expr_id", "name")
+        return grown
     return grown.withColumn("_n", F.row_number().over(W.partitionBy("expr_id").orderBy("name"))).where(F.col("_n") <= most).select("expr_id", "name")

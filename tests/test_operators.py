@@ -164,3 +164,38 @@ def test_stage_stream(spark, tmp_path):
         spark.createDataFrame([r], "event_id bigint, user_id bigint, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     out = stages.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
     assert {r["id"]: r["stage"] for r in out.collect()} == {11: 3, 12: 1}
+
+
+def test_variants_of_many_operands(spark):
+    """An expression of n operands has n + 1 variants, also beyond ten."""
+    points = spark.createDataFrame([(1, 14), (2, 1)], "expr_id bigint, n bigint")
+    got = {(r["expr_id"], r["name"]) for r in traces.variants(points).collect()}
+    assert got == {(e, "t" * k + ("f" if k < n else "")) for e, n in ((1, 14), (2, 1)) for k in range(n + 1)}
+
+
+def test_rdf_xml_of_several_files(spark, tmp_path):
+    from tessera.sources import rdfxml
+
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://x.invalid/#">'
+    for k in range(3):
+        (tmp_path / f"{k}.rdf").write_text(f'{head}\n<Part rdf:about="#p{k}"><label>part {k}</label></Part>\n</rdf:RDF>')
+    got = {tuple(r) for r in rdfxml.read(spark, str(tmp_path)).collect()}
+    assert got == {(f"p{k}", v, o) for k in range(3) for v, o in (("type", "Part"), ("label", f"part {k}"))}
+
+
+def test_numbers_of_all_rows(spark):
+    from tessera.sources import files
+
+    rows = spark.range(1000).selectExpr("id", "(id * 7919) % 101 as x").repartition(5)
+    got = files.numbered(rows, ["x", "id"], "n").collect()
+    assert [(r["x"], r["id"]) for r in sorted(got, key=lambda r: r["n"])] == sorted((k * 7919 % 101, k) for k in range(1000))
+    assert sorted(r["n"] for r in got) == list(range(1000))
+
+
+def test_closure_of_wanted_ancestors(spark):
+    from tessera.operators.closure import closure
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 4)], "parent bigint, child bigint")
+    every = {tuple(r) for r in closure(edges).collect()}
+    some = {tuple(r) for r in closure(edges, of=spark.createDataFrame([(2,), (77,)], "ancestor bigint")).collect()}
+    assert some == {r for r in every if r[0] == 2} == {(2, 2, 0), (2, 3, 1), (2, 1, 2), (2, 4, 2)}
