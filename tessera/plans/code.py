@@ -8,7 +8,7 @@ from tessera.functions import masks, numeric, text
 from tessera.operators import expressions as ex
 from tessera.operators import traces, writes
 from tessera.operators import facts as fx
-from tessera.sources import jsonio
+from tessera.sources import csource, jsonio
 
 from .judging import _ORDER
 from .registry import query
@@ -23,6 +23,46 @@ def flattened_tokens(v):
     return packed.select("expr_id", F.posexplode("t").alias("at", "x")).select("expr_id", (F.col("at") + 1).alias("idx"), "x.text", "x.token_type")
 
 
+def expression_trees(v):
+    """Nodes of the expressions' trees, parsed from their tokens put together as text."""
+    packed = v("tokens").groupBy(F.col("expr_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("t"))
+    return csource.trees(packed.select("id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("code")), "expression")
+
+
+@query("C1", "SELECT expr_id, idx, CASE text WHEN '=' THEN 'assignment' WHEN '<' THEN 'comparison' ELSE text END AS matched FROM v_tokens WHERE token_type = 'operator'")
+def matched_expressions(v):
+    return csource.matched(expression_trees(v)).select(F.col("id").alias("expr_id"), (F.col("at") + 1).alias("idx"), "matched")
+
+
+@query("C2", """WITH o(text, prec, assoc) AS (VALUES ('+', 6, 'L'), ('*', 5, 'L'), ('=', 16, 'R'), ('<', 9, 'L'), ('&&', 14, 'L'), ('-', 6, 'L')),
+ n AS (SELECT t.expr_id, t.idx, t.text, t.token_type, o.prec, o.assoc FROM v_tokens t LEFT JOIN o ON o.text = t.text),
+ w AS (SELECT * FROM n WHERE prec IS NOT NULL),
+ l AS (SELECT n.expr_id, n.idx, MAX(w.idx) AS at FROM n JOIN w ON w.expr_id = n.expr_id AND w.idx < n.idx AND (n.prec IS NULL OR w.prec > n.prec OR w.prec = n.prec AND w.assoc = 'R') GROUP BY n.expr_id, n.idx),
+ r AS (SELECT n.expr_id, n.idx, MIN(w.idx) AS at FROM n JOIN w ON w.expr_id = n.expr_id AND w.idx > n.idx AND (n.prec IS NULL OR w.prec > n.prec OR w.prec = n.prec AND w.assoc = 'L') GROUP BY n.expr_id, n.idx)
+ SELECT n.expr_id, n.idx, n.text, CASE n.token_type WHEN 'operator' THEN 'binary' ELSE 'variable' END AS kind,
+        CASE WHEN l.at IS NULL THEN r.at WHEN r.at IS NULL THEN l.at WHEN y.prec < x.prec OR y.prec = x.prec AND y.assoc = 'R' THEN r.at ELSE l.at END AS parent
+ FROM n LEFT JOIN l ON l.expr_id = n.expr_id AND l.idx = n.idx LEFT JOIN r ON r.expr_id = n.expr_id AND r.idx = n.idx
+ LEFT JOIN w x ON x.expr_id = n.expr_id AND x.idx = l.at LEFT JOIN w y ON y.expr_id = n.expr_id AND y.idx = r.at""")
+def normal_forms(v):
+    t = expression_trees(v)
+    return t.select(F.col("id").alias("expr_id"), (F.col("at") + 1).alias("idx"), "text", "kind", (F.col("parent_at") + 1).alias("parent"))
+
+
+@query("C4", """WITH e(k, node, parent, position, kind, text) AS (VALUES
+ (0, 3, 1, 1, 'for', 'i = 0 ; i < n ; i ++'), (0, 4, 3, 0, 'sequence', ''), (0, 5, 4, 0, 'expression', 'g ( i )'), (0, 6, 1, 2, 'return', ''),
+ (1, 3, 1, 1, 'while', 'i < n'), (1, 4, 3, 0, 'expression', 'i ++'), (1, 5, 1, 2, 'return', ''),
+ (2, 3, 1, 1, 'do', 'i < n'), (2, 4, 3, 0, 'sequence', ''), (2, 5, 4, 0, 'if', ''), (2, 6, 5, 0, 'branch', 'i'), (2, 7, 6, 0, 'break', ''),
+ (2, 8, 5, 1, 'else', ''), (2, 9, 8, 0, 'continue', ''), (2, 10, 1, 2, 'return', ''),
+ (3, 3, 1, 1, 'if', ''), (3, 4, 3, 0, 'branch', 'n < 0'), (3, 5, 4, 0, 'return', ''), (3, 6, 3, 1, 'branch', 'n == 0'), (3, 7, 6, 0, 'sequence', ''),
+ (3, 8, 3, 2, 'else', ''), (3, 9, 8, 0, 'expression', 'g ( n )'), (3, 10, 1, 2, 'return', ''),
+ (4, 3, 1, 1, 'undefined', 'switch'), (4, 4, 1, 2, 'return', ''), (5, 3, 1, 1, 'undefined', ';'), (5, 4, 1, 2, 'return', ''))
+ SELECT id, CAST(0 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS parent, CAST(0 AS BIGINT) AS position, 'function' AS kind, 'f' || CAST(id AS VARCHAR) AS text FROM v_sources
+ UNION ALL SELECT id, 1, 0, 0, 'sequence', '' FROM v_sources UNION ALL SELECT id, 2, 1, 0, 'declaration', 'int i = 0' FROM v_sources
+ UNION ALL SELECT s.id, e.node, e.parent, e.position, e.kind, e.text FROM v_sources s JOIN e ON e.k = s.id % 6""")
+def statement_trees(v):
+    return csource.trees(v("sources")).select("id", "node", "parent", "position", "kind", "text")
+
+
 @query("C5", "SELECT algo_id, parent, node, CAST(ROW_NUMBER() OVER w - 1 AS BIGINT) AS item_index, LEAD(node) OVER w AS next FROM v_nodes WHERE parent IS NOT NULL WINDOW w AS (PARTITION BY algo_id, parent ORDER BY node)")
 def linked_statements(v):
     from pyspark.sql import Window as W

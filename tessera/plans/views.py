@@ -84,6 +84,13 @@ SELECT user_id AS trace_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts,
        CASE WHEN event_type = 'error' THEN 'loop' WHEN event_type = 'view' THEN 'alternative' WHEN event_type = 'click' THEN 'expr' ELSE 'stmt' END AS class,
        event_id % 3 AS reason
 FROM events""",
+    "v_sources": """
+SELECT p_partkey AS id, 'void f' || CAST(p_partkey AS STRING) || '(int n) { int i = 0; '
+       || CASE p_partkey % 6 WHEN 0 THEN 'for (i = 0; i < n; i++) { g(i); }' WHEN 1 THEN 'while (i < n) i++;'
+               WHEN 2 THEN 'do { if (i) break; else continue; } while (i < n);'
+               WHEN 3 THEN 'if (n < 0) return; else if (n == 0) { } else g(n);'
+               WHEN 4 THEN 'switch (n) { case 1: g(1); }' ELSE ';' END || ' return; }' AS code
+FROM part""",
 }
 
 
