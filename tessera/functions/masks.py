@@ -51,3 +51,11 @@ def single_bits(col: Column) -> Column:
 
 def any_of(col: Column) -> Column:
     return F.coalesce(F.bit_or(col), F.lit(0).cast("bigint"))
+
+
+def widened(col: Column, below: dict[int, int]) -> Column:
+    """The mask with, for each of its bits, the bits of ``below`` (bit to mask, at most 63)."""
+    out = F.coalesce(col, F.lit(0)).cast("bigint")
+    for bit, more in sorted(below.items()):
+        out = out.bitwiseOR(F.when(both(col, bit) != 0, F.lit(more).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return out

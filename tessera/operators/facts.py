@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .closure import closure
+
 TERMS = ["subject", "verb", "object"]
 
 
@@ -81,3 +83,10 @@ def chain(starts: DataFrame, facts: DataFrame, path: list[str]) -> DataFrame:
 def up_to_role(facts: DataFrame, role: int) -> DataFrame:
     """Union of the graphs of a question up to a role, as a set."""
     return facts.where(F.col("role_ord") <= role).select("graph_id", *TERMS).dropDuplicates()
+
+
+def repeated(facts: DataFrame, verbs: list[str]) -> DataFrame:
+    """node, reached: where one or more steps by any of ``verbs`` lead; a node leads to itself only by a cycle."""
+    steps = facts.where(F.col("verb").isin(verbs)).select(F.col("subject").alias("parent"), F.col("object").alias("child")).distinct()
+    on = closure(steps).select(F.col("ancestor").alias("child"), F.col("node").alias("reached"))
+    return steps.join(on, "child").select(F.col("parent").alias("node"), "reached").distinct()

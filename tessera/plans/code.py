@@ -287,7 +287,8 @@ def ceilings(v):
     return v("questions_meta").select("id", F.ceil(F.col("solution_steps") / 4).alias("c"))
 
 
-@query("H1")
+@query("H1", """SELECT id, list_reduce(list_prepend(CAST(2863311530 AS BIGINT), list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+ lambda h, c, i: xor(h, CASE WHEN i % 2 = 0 THEN xor((h << 7) & 4294967295, (c * (h >> 3)) & 4294967295) ELSE ~(((h << 11) & 4294967295) + xor(c, h >> 5)) END) & 4294967295) AS h FROM v_templates""")
 def string_hash(v):
     return v("templates").select("id", text.mixed_hash(F.col("name")).alias("h"))
 

@@ -107,6 +107,16 @@ def ordered_pairs(v):
     return a.join(b, "question_id").where("i < j")
 
 
+@query("J12_unused", """WITH u AS (SELECT question_id, order_number FROM v_interactions WHERE correct_laws_count > 0), n AS (SELECT question_id, order_number FROM v_interactions WHERE correct_laws_count = 0)
+ SELECT u.question_id, CAST(u.order_number AS BIGINT) AS used, CAST(n.order_number AS BIGINT) AS unused FROM u JOIN n ON n.question_id = u.question_id""")
+def used_with_unused(v):
+    """Each answer of a question that was used with each that was not."""
+    i = v("interactions")
+    used = i.where("correct_laws_count > 0").select("question_id", F.col("order_number").alias("used"))
+    unused = i.select("question_id", F.col("order_number").alias("unused")).join(used.withColumnRenamed("used", "unused"), ["question_id", "unused"], "left_anti")
+    return used.join(unused, "question_id")
+
+
 @query("J13", "SELECT question_id, STRING_AGG(CAST(violations_count AS VARCHAR) || ':' || CAST(interactions_left AS VARCHAR), ',' ORDER BY order_number) AS zipped FROM v_interactions GROUP BY question_id")
 def zipped(v):
     rows = v("interactions").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("order_number", "violations_count", "interactions_left"))).alias("s"))

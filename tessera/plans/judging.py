@@ -207,11 +207,26 @@ def acceptable(v):
 # Target balancing -------------------------------------------------------------------------------
 
 
-@query("P1", "SELECT id, concept_mask AS targets, CAST(concept_mask | (concept_mask * 2) AS BIGINT) AS allowed, CAST(denied_mask | (denied_mask * 2) AS BIGINT) AS denied FROM v_requests")
+#: The fixture's concepts as bits: which bit is a child of which.
+_BIT_EDGES = ((1, 2), (1, 4), (2, 8), (4, 16), (16, 32), (8, 32))
+
+
+@query("P1", f"""WITH RECURSIVE e(parent, child) AS (VALUES {", ".join(map(str, _BIT_EDGES))}),
+ b(bit) AS (SELECT parent FROM e UNION SELECT child FROM e), r(bit, below) AS (SELECT bit, bit FROM b UNION SELECT r.bit, e.child FROM r JOIN e ON e.parent = r.below),
+ m AS (SELECT q.id, BIT_OR(CASE WHEN (q.concept_mask & r.bit) <> 0 THEN r.below ELSE 0 END) AS allowed, BIT_OR(CASE WHEN (q.denied_mask & r.bit) <> 0 THEN r.below ELSE 0 END) AS denied
+       FROM v_requests q CROSS JOIN r GROUP BY q.id)
+ SELECT q.id, CAST(q.concept_mask AS BIGINT) AS targets, CAST(q.concept_mask | m.allowed AS BIGINT) AS allowed, CAST(q.denied_mask | m.denied AS BIGINT) AS denied FROM v_requests q JOIN m ON m.id = q.id""")
 def request_masks(v):
-    """Targets, what is allowed with children (here the next bit), what is denied with children."""
-    kids = lambda c: F.col(c).bitwiseOR(F.col(c) * 2)
-    return v("requests").select("id", F.col("concept_mask").alias("targets"), kids("concept_mask").alias("allowed"), kids("denied_mask").alias("denied"))
+    """Targets, what is allowed with all below, what is denied with all below. A dictionary has at
+    most 63 bits, so the masks of their descendants come to the driver and go into the row's expression."""
+    c = closure(v.rows("parent bigint, child bigint", *_BIT_EDGES))
+    below = {r["ancestor"]: r["mask"] for r in c.groupBy("ancestor").agg(F.bit_or("node").alias("mask")).collect()}
+    return v("requests").select(
+        "id",
+        F.col("concept_mask").alias("targets"),
+        masks.widened(F.col("concept_mask"), below).alias("allowed"),
+        masks.widened(F.col("denied_mask"), below).alias("denied"),
+    )
 
 
 _USED = "SELECT r.attempt_id, b.bit, SUM(CASE WHEN (q.concept_bits & b.bit) <> 0 THEN 1 ELSE 0 END) AS hit, COUNT(*) AS n FROM v_requests r JOIN v_questions_meta q ON q.id = r.id % 1500 CROSS JOIN (VALUES (1), (2), (4)) b(bit) WHERE (r.concept_mask & b.bit) <> 0 GROUP BY r.attempt_id, b.bit"

@@ -99,6 +99,13 @@ def collected_results(v):
     return files.first_of_each(part.where("hash <= 40").join(logs, "id", "left_semi"), ["name", "hash"], "id").select("name", "hash", "id")
 
 
+@query("S15", "SELECT id - id % 64 AS archive_id, name || '.c' AS name, code AS content FROM (SELECT t.id, t.name, s.code FROM v_templates t JOIN v_sources s ON s.id = t.id) x")
+def zipped_sources(v):
+    """Sources of templates put into zip files of at most 64, and read back out of them."""
+    rows = v("templates").join(v("sources"), "id").select((F.col("id") - F.col("id") % 64).alias("archive_id"), F.concat("name", F.lit(".c")).alias("name"), F.encode("code", "UTF-8").alias("content"))
+    return files.unzipped(files.zipped(rows, "archive_id"), "archive_id").select("archive_id", "name", F.decode("content", "UTF-8").alias("content"))
+
+
 @query("S16", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS stars FROM supplier WHERE s_acctbal BETWEEN 50 AND 100000 AND s_nationkey % 2 = 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
 def repositories(v):
     r = v("supplier").where("s_acctbal between 50 and 100000 and s_nationkey % 2 = 0")

@@ -104,6 +104,13 @@ def optional_path(v):
     return fx.chain(start, f, ["in_nation"]).unionByName(fx.chain(start, f, ["in_nation", "in_region"])).distinct()
 
 
+@query("G2_plus", """WITH RECURSIVE e AS (SELECT subject, object FROM v_facts WHERE verb IN ('in_nation', 'in_region')),
+ r(node, reached) AS (SELECT subject, object FROM e UNION SELECT r.node, e.object FROM r JOIN e ON e.subject = r.reached) SELECT node, reached FROM r""")
+def repeated_path(v):
+    """(in_nation | in_region)+ from every subject."""
+    return fx.repeated(v("facts"), ["in_nation", "in_region"]).select("node", "reached")
+
+
 @query("G3", f"{_REACH} SELECT a AS concept, CAST(COUNT(DISTINCT node) AS BIGINT) AS descendants FROM r GROUP BY a")
 def descendants(v):
     e = edges(v)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,3 +46,33 @@ def task_list(lines: DataFrame) -> DataFrame:
     """name and concept of lines ``name TAB concepts by blanks``."""
     cut = F.split("value", "\t")
     return lines.select(F.get(cut, 0).alias("name"), F.explode(F.split(F.get(cut, 1), " +")).alias("concept"))
+
+
+def zipped(rows: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``archive``, a zip of the key's files (name string, content binary), in order of
+    names. An archive is one value, so its files meet in one task; a null content is an empty file,
+    rows without a name are left out, and of equal names each stays an entry. No rows, no archives."""
+
+    def packed(key_of: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, content in sorted(((n, bytes(c) if c is not None else b"") for n, c in zip(frame["name"], frame["content"], strict=True))):
+                archive.writestr(zipfile.ZipInfo(name), content, zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({key: [key_of[0]], "archive": [out.getvalue()]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.where("name is not null").select(key, "name", "content").groupBy(key).applyInPandas(packed, f"`{key}` {kind}, archive binary")
+
+
+def unzipped(archives: DataFrame, key: str) -> DataFrame:
+    """key, name, content of every entry of every archive, one at a time; null archives have none."""
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, data in zip(frame[key], frame["archive"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as archive:
+                    for info in archive.infolist():
+                        yield pd.DataFrame({key: [k], "name": [info.filename], "content": [archive.read(info)]})
+
+    kind = archives.schema[key].dataType.simpleString()
+    return archives.where("archive is not null").select(key, "archive").mapInPandas(entries, f"`{key}` {kind}, name string, content binary")

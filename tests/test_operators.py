@@ -199,3 +199,23 @@ def test_closure_of_wanted_ancestors(spark):
     every = {tuple(r) for r in closure(edges).collect()}
     some = {tuple(r) for r in closure(edges, of=spark.createDataFrame([(2,), (77,)], "ancestor bigint")).collect()}
     assert some == {r for r in every if r[0] == 2} == {(2, 2, 0), (2, 3, 1), (2, 1, 2), (2, 4, 2)}
+
+
+def test_zip_files(spark):
+    rows = [(1, "b.c", b"x" * 100_000, 0), (1, "a.c", None, 0), (2, "a.c", b"", 0), (2, "a.c", b"y", 0), (None, "n", b"z", 0), (3, None, b"z", 0)]
+    frame = spark.createDataFrame(rows, "id int, name string, content binary, archive int")
+    back = files.unzipped(files.zipped(frame, "id"), "id").collect()
+    assert sorted((str(r.id), r.name, bytes(r.content)) for r in back) == [("1", "a.c", b""), ("1", "b.c", b"x" * 100_000), ("2", "a.c", b""), ("2", "a.c", b"y"), ("None", "n", b"z")]
+    assert files.unzipped(files.zipped(frame.where("false"), "id"), "id").count() == 0
+
+
+def test_widened_masks(spark):
+    below = {1: 0b111, 4: 0b100, 1 << 62: 1 << 61}
+    frame = spark.createDataFrame([(0,), (1,), (4,), (8,), (1 << 62,), (None,)], "m bigint")
+    assert [r.x for r in frame.select(masks.widened(F.col("m"), below).alias("x")).collect()] == [0, 7, 4, 8, 3 << 61, 0]
+
+
+def test_repeated_steps(spark):
+    f = spark.createDataFrame([("a", "v", "b"), ("b", "w", "c"), ("c", "v", "a"), ("c", "x", "d")], T3)
+    found = {(r.node, r.reached) for r in fx.repeated(f, ["v", "w"]).collect()}
+    assert found == {(x, y) for x in "abc" for y in "abc"}
