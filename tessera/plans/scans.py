@@ -43,11 +43,14 @@ def merged_graphs(v):
     return turtle.parsed(turtle.lines(v("facts").where("verb in ('in_nation', 'in_region')")).select("value")).unionByName(extra).distinct()
 
 
-@query("S6", """SELECT algo_id, CAST(COUNT(*) AS BIGINT) AS children, STRING_AGG(class || ':' || CAST(node AS VARCHAR), ',' ORDER BY node) AS tree
- FROM v_nodes WHERE parent = 0 GROUP BY algo_id""")
+@query("S6", """WITH RECURSIVE r(algo_id, node, class, path) AS (SELECT algo_id, node, class, [node] FROM v_nodes WHERE parent IS NULL
+  UNION ALL SELECT n.algo_id, n.node, n.class, list_append(r.path, n.node) FROM v_nodes n JOIN r ON n.algo_id = r.algo_id AND n.parent = r.node),
+ l AS (SELECT algo_id, node, class, path, len(path) AS lv, LEAD(len(path)) OVER (PARTITION BY algo_id ORDER BY path) AS nl FROM r)
+ SELECT algo_id, CAST(COUNT(*) AS BIGINT) AS nodes, STRING_AGG('{"node":' || CAST(node AS VARCHAR) || ',"class":"' || class || '","children":['
+  || CASE WHEN nl > lv THEN '' ELSE repeat(']}', lv - coalesce(nl, 1) + 1) || CASE WHEN nl IS NULL THEN '' ELSE ',' END END, '' ORDER BY path) AS tree FROM l GROUP BY algo_id""")
 def graph_to_json(v):
-    """First level of the nested form: children of the root in order."""
-    return jsonio.children(v("nodes").where("parent = 0"))
+    """Each program's whole tree as nested JSON."""
+    return jsonio.nested(v("nodes"), "algo_id")
 
 
 @query("S7", "SELECT id, CASE WHEN id % 2 = 0 THEN 'MATCHING' ELSE 'ORDER' END AS kind, CAST(solution_steps AS BIGINT) AS steps FROM v_questions_meta")

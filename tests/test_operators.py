@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import hypothesis.strategies as st
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,7 +13,7 @@ from tessera.functions import masks, numeric, text
 from tessera.operators import facts as fx
 from tessera.operators import rules, traces, writes
 from tessera.operators.closure import bag_closure, closure
-from tessera.sources import files, rdfxml, turtle
+from tessera.sources import files, jsonio, rdfxml, turtle
 from tessera.streaming import stages
 
 T3 = "subject string, verb string, object string"
@@ -209,6 +211,15 @@ def test_zip_files(spark):
     assert files.unzipped(files.zipped(frame.where("false"), "id"), "id").count() == 0
 
 
+def test_nested_json(spark):
+    rows = [(1, 0, None, "s"), (1, 1, 0, 'a"b'), (1, 2, 0, "l"), (1, 10, 1, "e"), (1, 9, 1, "e"), (2, 5, None, "s"), (3, 0, None, "s"), (3, 7, 8, "c"), (3, 8, 7, "c")]
+    frame = spark.createDataFrame(rows, "id int, node bigint, parent bigint, class string")
+    leaf = lambda n, c, *inside: {"node": n, "class": c, "children": list(inside)}
+    found = {r.id: json.loads(r.tree) for r in jsonio.nested(frame, "id").collect()}
+    assert found[1] == leaf(0, "s", leaf(1, 'a"b', leaf(9, "e"), leaf(10, "e")), leaf(2, "l"))
+    assert found[2] == leaf(5, "s") and found[3] == leaf(0, "s")
+
+
 def test_widened_masks(spark):
     below = {1: 0b111, 4: 0b100, 1 << 62: 1 << 61}
     frame = spark.createDataFrame([(0,), (1,), (4,), (8,), (1 << 62,), (None,)], "m bigint")
