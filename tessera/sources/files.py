@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.closure import saved
 
+#: Bytes of files that Python holds at once; a larger file is alone.
+PIECE_BYTES = 8 << 20
+
 
 def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files below a directory with their length; contents are not read."""
@@ -65,14 +68,20 @@ def zipped(rows: DataFrame, key: str) -> DataFrame:
 
 
 def unzipped(archives: DataFrame, key: str) -> DataFrame:
-    """key, name, content of every entry of every archive, one at a time; null archives have none."""
+    """key, name, content of every entry of every archive, in pieces of few bytes; null archives have none."""
 
     def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k, data in zip(frame[key], frame["archive"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as archive:
+                    held, size = [], 0
                     for info in archive.infolist():
-                        yield pd.DataFrame({key: [k], "name": [info.filename], "content": [archive.read(info)]})
+                        if held and size + info.file_size > PIECE_BYTES:
+                            yield pd.DataFrame(held, columns=[key, "name", "content"])
+                            held, size = [], 0
+                        held.append((k, info.filename, archive.read(info)))
+                        size += info.file_size
+                    yield pd.DataFrame(held, columns=[key, "name", "content"])
 
     kind = archives.schema[key].dataType.simpleString()
     return archives.where("archive is not null").select(key, "archive").mapInPandas(entries, f"`{key}` {kind}, name string, content binary")
