@@ -428,9 +428,11 @@ def feature_json(v):
 
 @query("D1", "SELECT id, CASE WHEN id % 7 = 0 AND id < 700 THEN 9 ELSE stage END AS stage FROM v_templates UNION ALL SELECT 1000000, 9")
 def upserted(v):
-    t = v("templates").select("id", F.col("stage").cast("bigint").alias("stage"))
-    changes = t.where("id % 7 = 0 and id < 700").select("id", F.lit(9).cast("bigint").alias("stage")).unionByName(v.rows("id bigint, stage bigint", (1000000, 9)))
-    return writes.upserted(t, changes, ["id"])
+    # Rows are found by name, and the new one's is no template's: it is added even where its id is taken.
+    t = v("templates").select("name", "id", F.col("stage").cast("bigint").alias("stage"))
+    changes = t.where("id % 7 = 0 and id < 700").select("name", "id", F.lit(9).cast("bigint").alias("stage")).distinct()
+    changes = changes.unionByName(v.rows("name string, id bigint, stage bigint", ("new", 1000000, 9)))
+    return writes.upserted(t, changes, ["name"]).select("id", "stage")
 
 
 @query("D2", "SELECT * FROM (VALUES ('loop', 1), ('expr', 2), ('alternative', 4), ('sequence', 8), ('stmt', 16)) t(name, bit)")

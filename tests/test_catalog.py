@@ -24,6 +24,16 @@ def test_same_rows(spark, con, key):
     assert compare.differs(spark, con, DIR, key, QUERIES[key], ORACLE_SQL[key]) == ""
 
 
+def test_upsert_adds_a_taken_id(spark, tmp_path):
+    """D1 on over a million parts, of which one has the new row's id; repeated and null keys."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    keys = [None, 0, 1, 7, 7, 14, 693, 700, 999_999, 1_000_000]
+    pq.write_table(pa.table({"p_partkey": pa.array(keys, pa.int64()), "p_size": pa.array([1] * len(keys), pa.int64())}), tmp_path / "part.parquet")
+    assert compare.differs(spark, compare.duck(tmp_path), tmp_path, "D1", QUERIES["D1"], ORACLE_SQL["D1"]) == ""
+
+
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, key):
     assert QUERIES[key](spark, DIR).columns
