@@ -4,7 +4,13 @@ Round j puts the suffix of length j of every string among those that are there.
 rounds is three files, read and written from front to back in slices: the transform's symbols, the
 length of the common prefix of every suffix with the one before it, and, for suffixes that are long
 enough to be asked for, which suffix it is. In memory are a slice, a few numbers per symbol, and a
-few per string. The files live in a folder of the store that driver and executors share.
+few per string and per kind of symbol. The files live in a folder of the store that driver and
+executors share.
+
+A symbol may stand for several bytes. Of a string, the windows of w bytes from its byte 0, w, 2 w, ...
+are one string of symbols, those from 1, w + 1, ... another, and so on: together their suffixes are the
+suffixes of the bytes, up to less than w bytes at the end, in w times fewer rounds. Common
+prefixes are exact in steps of w bytes (``windows``).
 """
 
 from __future__ import annotations
@@ -37,9 +43,9 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
 class Files:
     """The files of one collection, in a folder of their own that goes when it is done."""
 
-    KINDS = (("symbol", np.uint8), ("prefix", np.uint8), ("code", np.int32))
-
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, end: int = END):
+        self.end = end  # the symbol after the last; all others are less
+        self.kinds = {"symbol": np.uint8 if end <= 0xFF else np.uint16 if end <= 0xFFFF else np.uint32, "prefix": np.uint8, "code": np.int32}
         self.system, path = store_of(uri)
         self.path = f"{path}/{uuid.uuid4().hex}"
         self.system.create_dir(self.path, recursive=True)
@@ -51,9 +57,9 @@ class Files:
 
     def write(self, slices: Iterator[tuple[np.ndarray, ...]]) -> None:
         """The next round's files, from slices of symbols, prefixes and codes."""
-        out = [self.system.open_output_stream(self._name(kind, self.round + 1)) for kind, _ in self.KINDS]
+        out = [self.system.open_output_stream(self._name(kind, self.round + 1)) for kind in self.kinds]
         for parts in slices:
-            for stream, part, (_, kind) in zip(out, parts, self.KINDS, strict=True):
+            for stream, part, kind in zip(out, parts, self.kinds.values(), strict=True):
                 stream.write(np.ascontiguousarray(part, kind))
         for stream in out:
             stream.close()
@@ -61,7 +67,7 @@ class Files:
 
     def read(self, *kinds: str) -> Iterator[tuple[np.ndarray, ...]]:
         """Slices of this round's files of the given kinds, symbols and prefixes."""
-        types = dict(self.KINDS)
+        types = self.kinds
         streams = [self.system.open_input_stream(self._name(kind, self.round)) for kind in kinds]
         while True:
             parts = [np.frombuffer(s.read(SLICE * types[k]().itemsize), types[k]) for s, k in zip(streams, kinds, strict=True)]
@@ -80,12 +86,32 @@ class Files:
         self.system.delete_dir(self.path)
 
 
-def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Least of values[first : last + 1] for each range; no range is empty."""
-    if not len(first):
-        return np.zeros(0, values.dtype)
-    bounds = np.column_stack([first, last + 1]).ravel()
-    return np.minimum.reduceat(np.append(values, values.dtype.type(255)), bounds)[::2]
+class _Least:
+    """Least of values[first : last + 1] for ranges, from the least of every 2 ** k values in turn."""
+
+    def __init__(self, values: np.ndarray):
+        self.tables = [values]
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """No range is empty."""
+        if not len(first):
+            return np.zeros(0, np.int64)
+        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        for k in range(len(self.tables), int(level.max()) + 1):
+            half = 1 << (k - 1)
+            self.tables.append(np.minimum(self.tables[-1][:-half], self.tables[-1][half:]))
+        # All tables end to end: table k has n - 2 ** k + 1 entries.
+        whole = np.concatenate(self.tables)
+        begin = np.cumsum([0, *map(len, self.tables)])[level]
+        return np.minimum(whole[begin + first], whole[begin + last + 1 - (1 << level)]).astype(np.int64)
+
+
+def _order(b: np.ndarray) -> np.ndarray:
+    """Stable order of symbols, by halves of 16 bits, which numpy sorts by their digits."""
+    if b.itemsize <= 2:
+        return np.argsort(b, kind="stable")
+    by = np.argsort((b & 0xFFFF).astype(np.uint16), kind="stable")
+    return by[np.argsort((b >> 16).astype(np.uint16)[by], kind="stable")]
 
 
 def _places(files: Files, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +125,10 @@ def _places(files: Files, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarr
     symbol = np.zeros(len(row), np.int64)
     rank = np.zeros(len(row), np.int64)
     changes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # symbol, rank, prefix
-    count = np.zeros(256, np.int64)
-    since = np.full(256, 255, np.int64)  # least prefix after a symbol's last occurrence
-    waiting: dict[int, tuple[int, int]] = {}  # symbol: rank of its next occurrence, least prefix so far
+    count = np.zeros(files.end + 1, np.int64)
+    since = np.full(files.end + 1, 255, np.int64)  # least prefix after a symbol's last occurrence
+    waiting = np.full(files.end + 1, -1, np.int64)  # rank of a symbol's next occurrence, if its prefix changes
+    least = np.full(files.end + 1, 255, np.int64)  # least prefix before that so far
     base = 0
     slices = files.read("symbol", "prefix")
     now = next(slices, None)
@@ -111,42 +138,39 @@ def _places(files: Files, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarr
         n = len(b)
         lo, hi = np.searchsorted(row, [base, base + n])
         q = row[lo:hi] - base
-        by = np.argsort(b, kind="stable")
-        here = np.bincount(b, minlength=256)
+        by = _order(b)
+        here = np.bincount(b, minlength=files.end + 1)
         begin = np.cumsum(here) - here
         a = b[q].astype(np.int64)
-        k = np.empty(len(q), np.int64)  # places of the occurrences q among all, by symbol
-        alike = np.argsort(b[q], kind="stable")
-        ends = np.cumsum(np.bincount(a, minlength=256)).tolist()
-        for one, (x, y) in enumerate(zip([0, *ends], ends, strict=False)):
-            if x < y:
-                mine = alike[x:y]
-                k[mine] = begin[one] + np.searchsorted(by[begin[one] : begin[one] + here[one]], q[mine])
+        k = np.empty(n, np.int64)  # places of the occurrences q among all, by symbol
+        k[by] = np.arange(n)
+        k = k[q]
+        between = _Least(prefix)
         # Least prefixes from the slice's begin and to its end matter where there are other slices.
         front = np.minimum.accumulate(prefix) if base else prefix
         back = np.minimum.accumulate(prefix[::-1])[::-1] if now is not None else prefix
-        for one, (r, least) in list(waiting.items()):
-            if here[one]:
-                value = min(least, int(front[by[begin[one]]]))
-                changes.append((np.array([one]), np.array([r]), np.array([value + 1])))
-                del waiting[one]
-            else:
-                waiting[one] = (r, min(least, int(front[-1])))
+        if base:
+            open_ = np.flatnonzero(waiting >= 0)
+            least[open_] = np.minimum(least[open_], np.where(here[open_] > 0, front[by[np.minimum(begin[open_], n - 1)]], front[-1]))
+            met = open_[here[open_] > 0]
+            changes.append((met, waiting[met], least[met] + 1))
+            waiting[met] = -1
         symbol[lo:hi], rank[lo:hi] = a, count[a] + k - begin[a]
         # The occurrence before: in this slice, in an earlier one, or none.
         inner = k > begin[a]
         value = np.zeros(len(q), np.int64)
-        value[inner] = _least(prefix, by[k[inner] - 1] + 1, q[inner]).astype(np.int64) + 1
+        value[inner] = between(by[k[inner] - 1] + 1, q[inner]) + 1
         outer = ~inner & (count[a] > 0)
         value[outer] = np.minimum(since[a[outer]], front[q[outer]]) + 1
         changes.append((a, rank[lo:hi], value))
         # The occurrence after.
         inner = k + 1 < begin[a] + here[a]
-        value = _least(prefix, q[inner] + 1, by[k[inner] + 1]).astype(np.int64) + 1
+        value = between(q[inner] + 1, by[k[inner] + 1]) + 1
         changes.append((a[inner], rank[lo:hi][inner] + 1, value))
-        for j in np.flatnonzero(~inner) if now is not None else ():
-            waiting[int(a[j])] = (int(rank[lo + j]) + 1, int(back[q[j] + 1]) if q[j] + 1 < n else 255)
         if now is not None:
+            last = ~inner  # of their symbols in this slice
+            waiting[a[last]] = rank[lo:hi][last] + 1
+            least[a[last]] = np.where(q[last] + 1 < n, back[np.minimum(q[last] + 1, n - 1)], 255)
             seen = here > 0
             last = by[(begin + here - 1)[seen]]
             since = np.minimum(since, int(back[0]))
@@ -173,7 +197,7 @@ def _merged(files: Files, place: np.ndarray, symbols: np.ndarray, codes: np.ndar
         spot = before[done:upto] - base + np.arange(upto - done)  # of the new entries in what goes out
         kept = np.ones(n + upto - done, bool)
         kept[spot] = False
-        symbol, prefix = np.empty(len(kept), np.uint8), np.empty(len(kept), np.uint8)
+        symbol, prefix = np.empty(len(kept), now[0].dtype), np.empty(len(kept), np.uint8)
         symbol[kept], prefix[kept] = now
         symbol[spot], prefix[spot] = symbols[done:upto], 0 if codes is None else CODED
         lo, hi = np.searchsorted(changed, [written, written + len(symbol)])
@@ -188,16 +212,41 @@ def _merged(files: Files, place: np.ndarray, symbols: np.ndarray, codes: np.ndar
     files.coded |= codes is not None
 
 
-def build(files: Files, texts: np.ndarray, begin: np.ndarray, length: np.ndarray, match: int) -> None:
-    """Put all suffixes of the strings texts[begin : begin + length] into the files, in order, those of
-    ``match`` symbols or more with codes; suffixes that are equal stand in the order of their strings."""
+def windows(texts: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int, match: int = 0) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """(symbols, end, begin, length): the window of ``width`` bytes at every byte as a number in the
+    windows' order, the number after the last, and the strings of symbols, ``width`` for each of
+    the strings texts[begin : begin + length], which lie end to end; those of fewer than ``match``
+    symbols are empty."""
+    left = np.repeat(begin + length, length) - np.arange(len(texts))  # bytes to the string's end
+    symbols, known, done = texts.astype(np.int64), 256, 1
+    while done < width:
+        more = min(done, width - done)  # a window is two shorter ones, which overlap where they must
+        pair = symbols[: max(0, len(texts) - more)] * known + symbols[more:]
+        done += more
+        within = left[: len(pair)] >= done
+        symbols = np.zeros(len(texts), np.int64)
+        if done < width and known**2 < 1 << 31:  # few enough to need no new numbers
+            symbols[: len(pair)][within], known = pair[within], known**2
+        else:
+            names, symbols[: len(pair)][within] = np.unique(pair[within], return_inverse=True)
+            known = len(names)
+    shift = np.arange(width)
+    count = np.maximum(length[:, None] - shift, 0) // width
+    return symbols, known, (begin[:, None] + shift).ravel(), np.where(count < match, 0, count).ravel()
+
+
+def build(files: Files, texts: np.ndarray, begin: np.ndarray, length: np.ndarray, match: int, step: int = 1) -> None:
+    """Put all suffixes of the strings texts[begin : begin + step * length : step] into the files, in
+    order, those of ``match`` symbols or more with codes; suffixes that are equal stand in the order of
+    their strings."""
     m = len(begin)
+    kind = files.kinds["symbol"]
     if length.max(initial=0) > MOST:
-        raise ValueError(f"a string is longer than {MOST} bytes")
+        raise ValueError(f"a string is longer than {MOST} symbols")
 
     def symbol(i: np.ndarray, j: int) -> np.ndarray:
         """The symbol before the suffix of length j."""
-        return np.where(j < length[i], texts[np.maximum(begin[i] + length[i] - 1 - j, 0)], END).astype(np.uint8)
+        return np.where(j < length[i], texts[np.maximum(begin[i] + step * (length[i] - 1 - j), 0)], files.end).astype(kind)
 
     def code(i: np.ndarray, j: int) -> np.ndarray | None:
         return ((i << SIZE_BITS) | j).astype(np.int32) if j >= match else None
@@ -214,7 +263,7 @@ def build(files: Files, texts: np.ndarray, begin: np.ndarray, length: np.ndarray
         place, changed, value = _places(files, row, m)
         order = np.argsort(place)
         live, row = live[order], place[order]
-        order = np.argsort(changed, kind="stable")
+        order = np.argsort(changed)  # what changes twice gets one value
         files.write(_merged(files, row, symbol(live, j), code(live, j), changed[order], value[order].astype(np.uint8)))
 
 

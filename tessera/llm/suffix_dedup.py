@@ -36,6 +36,8 @@ from .words import _BASE, _UNDO, _VALUE, U, _power, groups, mixed
 #: a common string has at least MATCH - GRAM bytes around the anchor, so half of them on one side.
 MATCH, GRAM = 50, 16
 NEAR = (MATCH - GRAM) // 2
+#: Bytes of a symbol of the transform; MATCH is a multiple.
+WIDTH = 10
 #: Segments of a block (the anchor that fills it is always whole), and of an anchor that one
 #: window may hold.
 BLOCK_SEGMENTS = 4000
@@ -228,13 +230,15 @@ def repeated(texts: list[bytes], doc: np.ndarray, uri: str) -> np.ndarray:
     length = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     mask = np.zeros(len(texts), np.int64)
-    files = external_bwt.Files(uri)
-    external_bwt.build(files, data, np.cumsum(length) - length, length, MATCH)
-    for member, size, group in external_bwt.groups(files, MATCH):
+    symbols, end, opens, count = external_bwt.windows(data, np.cumsum(length) - length, length, WIDTH, MATCH // WIDTH)
+    files = external_bwt.Files(uri, end)
+    external_bwt.build(files, symbols, opens, count, MATCH // WIDTH, WIDTH)
+    for member, size, group in external_bwt.groups(files, MATCH // WIDTH):
+        own, start = member // WIDTH, member % WIDTH + WIDTH * (count[member] - size)
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.repeat(np.minimum.reduceat(doc[member], begin), np.diff(np.append(begin, len(group))))
-        later = doc[member] > least
-        np.bitwise_or.at(mask, member[later], np.int64(1) << (length[member] - size)[later])
+        least = np.repeat(np.minimum.reduceat(doc[own], begin), np.diff(np.append(begin, len(group))))
+        later = doc[own] > least
+        np.bitwise_or.at(mask, own[later], np.int64(1) << start[later])
     files.close()
     return mask
 

@@ -161,6 +161,49 @@ def test_transform_and_prefixes_in_files(tmp_path, monkeypatch, slice_):
     assert not list(tmp_path.iterdir())
 
 
+def repeats(texts, doc):
+    """The bits of the substrings of 50 bytes that a text of a smaller doc has, by their definition."""
+    first = {}
+    for t, d in zip(texts, doc, strict=True):
+        for k in range(len(t) - 49):
+            first[t[k : k + 50]] = min(first.get(t[k : k + 50], d), d)
+    return [sum(1 << k for k in range(len(t) - 49) if first[t[k : k + 50]] < d) for t, d in zip(texts, doc, strict=True)]
+
+
+@pytest.mark.parametrize("width, slice_, letters, n", [(1, 1 << 20, b"ab", 40), (2, 7, b"ab", 12), (5, 50, b"abc", 40), (10, 1, b"ab", 6), (10, 64, b"ab\xff", 60), (25, 30, b"ab", 40), (10, 1 << 20, bytes(range(200)), 2000), (10, 9000, bytes(range(200)), 2000)])
+def test_symbols_of_several_bytes(tmp_path, monkeypatch, width, slice_, letters, n):
+    """Repeated strings by symbols of any width, against the definition; the last two have more than 65,536 symbols."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "WIDTH", width)
+    monkeypatch.setattr(external_bwt, "SLICE", slice_)
+    r = random.Random(width * slice_)
+    common = [bytes(r.choices(letters, k=84)) for _ in range(1 + n // 12)]
+    texts = set()
+    while len(texts) < n:
+        t = bytearray(r.choice(common) if r.random() < 0.5 else bytes(r.choices(letters, k=84)))
+        t[r.randrange(84)] = r.choice(letters)
+        texts.add(bytes(t[: r.randint(50, 84)] if len(letters) < 9 else t))
+    doc = np.array([r.randrange(1 + n // 3) for _ in range(n)])
+    texts = sorted(texts, key=lambda t: t[::-1])
+    want = repeats(texts, doc.tolist())
+    assert any(want) and suffix_dedup.repeated(texts, doc, str(tmp_path)).tolist() == want
+    assert not list(tmp_path.iterdir())
+
+
+def test_few_rounds_over_the_files(tmp_path, monkeypatch):
+    """A round reads and writes all files, so their number is what a segment costs: 9 for 84 bytes, not 85."""
+    import numpy as np
+
+    rounds, write = [], external_bwt.Files.write
+    monkeypatch.setattr(external_bwt.Files, "write", lambda self, slices: rounds.append(1) or write(self, slices))
+    passage = bytes(range(33, 117))
+    got = suffix_dedup.repeated([passage, passage[1:] + b"x"], np.array([1, 2]), str(tmp_path))
+    assert got.tolist() == [0, (1 << 34) - 1] and len(rounds) <= 9
+
+
 def test_segments_of_long_texts_agree(monkeypatch):
     """Slices of a long text give the windows of the whole."""
     import random
