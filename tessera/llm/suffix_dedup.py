@@ -1,6 +1,7 @@
 """Removal of long repeated byte strings across documents.
 
-Every string of MATCH bytes is assigned to its anchor, the least-hashed gram in it, so equal
+A document whose whole text an earlier one has is repeated as a whole, and adds no strings: only the
+others are looked into. Every string of MATCH bytes is assigned to its anchor, the least-hashed gram in it, so equal
 strings have equal anchors. The strings of one anchor are one run of bytes, its segment, at most
 2 * MATCH - GRAM long. Anchors that only one document has are left out. Of the others, a segment that
 an earlier document has just so is repeated as a whole; and segments of different content that share
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import external_bwt
-from .shared import checked, freed, shared_dir, small, stored, table
+from .shared import checked, fits, freed, shared_dir, small, stored, table
 from .words import _BASE, _UNDO, _VALUE, U, _power, groups, mixed
 
 #: Bytes of a repeated string and of an anchor, and those beside the anchor that one side must share:
@@ -125,15 +126,23 @@ def _found(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
             yield np.array(index)[own], anchor, whole, ((begin - begins[own] + base) << COUNT_BITS) | count, sides
 
 
-def _known(docs: DataFrame) -> DataFrame:
-    """doc, tie, text. tie tells the texts of one doc_id apart, and is 0 where there is one."""
+def _known(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc, tie, text of all rows, and doc, tie, n of those whose whole text of n bytes an earlier
+    document has. tie tells the texts of one doc_id apart, and is 0 where there is one."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc"), "text")
     hashed = F.xxhash64("text")
-    several = rows.groupBy("doc").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select("doc", F.lit(True).alias("several"))
+    whole = F.when(F.octet_length("text") >= MATCH, F.unhex(F.sha2("text", 256)))
+    digests = stored(rows.select("doc", hashed.alias("tie"), F.octet_length("text").cast("bigint").alias("n"), whole.alias("whole")), "sd-digests")
+    several = digests.groupBy("doc").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a <> b").select("doc", F.lit(True).alias("several"))
     several = stored(several, "sd-several")
+    first = digests.where("whole is not null").groupBy("whole").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("whole", "first")
+    copies = digests.join(checked(stored(first, "sd-wholes")), "whole").where("doc > first").select("doc", "tie", "n").distinct()
     if several.isEmpty():
-        return rows.select("doc", F.lit(0).cast("bigint").alias("tie"), "text")
-    return rows.join(checked(several), "doc", "left").select("doc", F.when(F.col("several"), hashed).otherwise(F.lit(0)).alias("tie"), "text")
+        known = rows.select("doc", F.lit(0).cast("bigint").alias("tie"), "text")
+        return known, stored(copies.select("doc", F.lit(0).cast("bigint").alias("tie"), "n"), "sd-copies")
+    tie = lambda h: F.when(F.col("several"), h).otherwise(F.lit(0)).alias("tie")
+    known = rows.join(checked(several), "doc", "left").select("doc", tie(hashed), "text")
+    return known, stored(copies.join(checked(several), "doc", "left").select("doc", tie(F.col("tie")), "n"), "sd-copies")
 
 
 def _anchors(known: DataFrame) -> DataFrame:
@@ -314,7 +323,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     not read.
     """
     spark = docs.sparkSession
-    known = _known(docs)
+    every, copies = _known(docs)
+    known = every.join(checked(copies), ["doc", "tie"], "left_anti")
+    if not fits(copies):  # then texts are dealt out for the join, once
+        known = stored(known, "sd-texts")
     anchors = _anchors(known)
     hot = stored(anchors.where(F.col("n") > HOT_ROWS).select("h", F.lit(True).alias("hot")), "sd-hot")
     rows = _rows(known, anchors)
@@ -333,7 +345,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     masks = stored(masks, "sd-masks")
     whole = F.expr(f"shiftleft(1L, cast(at & {(1 << COUNT_BITS) - 1} as int)) - 1")
     places = found.where("copy").select("doc", "tie", "at", whole.alias("mask")).unionByName(masks)
-    places = stored(_merged(places.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "mask")).alias("places"))), "sd-spans")
+    places = stored(_merged(places.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "mask")).alias("places"))).unionByName(copies.select("doc", "tie", F.array(F.lit(0).cast("bigint"), "n").alias("runs"))), "sd-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -353,7 +365,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     none = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("doc"), "text", F.lit(None).cast("array<bigint>").alias("runs"))
-    joined = known.join(checked(places, 4), ["doc", "tie"], "left").select("doc", "text", "runs").unionByName(none)
+    joined = every.join(checked(places, 4), ["doc", "tie"], "left").select("doc", "text", "runs").unionByName(none)
     return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>")
 
 

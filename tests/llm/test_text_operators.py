@@ -119,6 +119,22 @@ def test_texts_of_one_document(spark):
     assert got == sorted([(1, n, 0), (2, n, n), (2, m, 0), (2, n, n), (3, 0, 0)]) and len(found) == len(rows)
 
 
+def test_whole_copies_are_settled_first(spark, monkeypatch):
+    """Only the first document of a text is cut into segments; texts of one doc_id, null and short ones among them."""
+    passage = "a passage of more than fifty bytes that some documents share, word by word, é."
+    texts = {5: passage, 7: passage, 9: passage + passage, 11: "before it " + passage, 12: "x" * 49, 13: "x" * 49, 14: "y" * 50, 15: "y" * 50}
+    asked = []
+    monkeypatch.setattr(suffix_dedup, "_anchors", lambda known, f=suffix_dedup._anchors: asked.extend(known.collect()) or f(known))
+    rows = [*texts.items(), (7, passage), (2, None)]
+    got = by_id(suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {r["doc"] for r in asked} == {2, 5, 9, 11, 12, 13, 14}
+    assert {i: tuple(got[i])[1:5] for i in got} == removed(sorted((texts | {2: None}).items()))
+    more = [*rows, (7, "another text of document seven, which no other document has, not in part"), (7, None)]
+    found = suffix_dedup.deduplicate(spark.createDataFrame(more, "doc_id bigint, text string")).collect()
+    n = len(passage.encode())
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in found if r["doc_id"] == 7) == [(0, 0), (72, 0), (n, n), (n, n)]
+
+
 def common(a, b):
     return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
